@@ -1,9 +1,10 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import packing, piece_counts
+from . import near_dedup, packing, piece_counts
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op4_token_counts": piece_counts.op4_token_counts,
 }
 ORACLES: dict[str, str] = {}
