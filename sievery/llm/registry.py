@@ -1,10 +1,14 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import near_dedup, packing, piece_counts
+from . import matroska, mixing, near_dedup, packing, piece_counts
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op4_token_counts": piece_counts.op4_token_counts,
+    "op5_media_columns": matroska.op5_media_columns,
+    "op8_mixing": mixing.op8_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
