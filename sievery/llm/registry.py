@@ -1,13 +1,15 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import matroska, mixing, near_dedup, packing, piece_counts
+from . import language_id, line_crf, matroska, mixing, near_dedup, packing, piece_counts
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op4_token_counts": piece_counts.op4_token_counts,
     "op5_media_columns": matroska.op5_media_columns,
+    "op6_language_id": language_id.op6_language_id,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality_classifier": line_crf.op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op8_mixing": mixing.OP8_SQL,
