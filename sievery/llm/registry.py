@@ -1,6 +1,6 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import language_id, line_crf, matroska, mixing, near_dedup, packing, piece_counts
+from . import language_id, line_crf, matroska, mixing, near_dedup, packing, piece_counts, quality_rules
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_token_counts": piece_counts.op4_token_counts,
     "op5_media_columns": matroska.op5_media_columns,
     "op6_language_id": language_id.op6_language_id,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_classifier": line_crf.op9_quality_classifier,
 }
