@@ -1,8 +1,9 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import language_id, line_crf, matroska, mixing, near_dedup, packing, piece_counts, quality_rules
+from . import language_id, licenses, line_crf, matroska, mixing, near_dedup, packing, piece_counts, quality_rules
 
 QUERIES = {
+    "op1_license_scans": licenses.op1_license_scans,
     "op2_packing": packing.op2_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op4_token_counts": piece_counts.op4_token_counts,
@@ -13,5 +14,6 @@ QUERIES = {
     "op9_quality_classifier": line_crf.op9_quality_classifier,
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scans": licenses.OP1_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
