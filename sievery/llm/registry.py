@@ -1,11 +1,12 @@
 """The queries of this folder by name, and the SQL of those that SQL can express."""
 
-from . import language_id, licenses, line_crf, matroska, mixing, near_dedup, packing, piece_counts, quality_rules
+from . import language_id, licenses, line_crf, matroska, mixing, near_dedup, packing, piece_counts, quality_rules, secrets_scan
 
 QUERIES = {
     "op1_license_scans": licenses.op1_license_scans,
     "op2_packing": packing.op2_packing,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op3_secret_scans": secrets_scan.op3_secret_scans,
     "op4_token_counts": piece_counts.op4_token_counts,
     "op5_media_columns": matroska.op5_media_columns,
     "op6_language_id": language_id.op6_language_id,
