@@ -3,11 +3,12 @@
 A document's set is its distinct word shingles as 64-bit hashes. The hashes fall into buckets by their first bits;
 a bucket's register keeps the least hash's count of leading zeros and the mantissa bits that follow. Documents with
 equal sets form a class. Classes that share a band of registers are candidates, the collision-corrected estimate of
-their Jaccard similarity drops those far from the threshold, and the full sets of the others are compared.
+their Jaccard similarity, from finer registers, drops those far from the threshold, and the full sets of the others are compared.
 
-All candidates of a large group are never emitted. First each class is compared with one hub of its buckets, which
-joins a group of near copies in a linear number of comparisons; after that, only pairs from different components of a
-bucket are estimated, in blocks of registers inside the tasks, and only those near the threshold are emitted.
+All candidates of a large group are never emitted. In a few rounds each class is compared with one hub of its
+buckets, which joins most of a group of near copies in a linear number of comparisons; after that, only pairs from
+different components of a bucket are estimated, in blocks of registers inside the tasks, and those near the threshold
+are emitted, the most similar first, so that components grow together before the less similar pairs come up.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 BUCKETS, MANTISSA, BAND = 128, 10, 4
+#: Marks for the estimate: a byte for each of so many finer buckets.
+MARKS = 512
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -70,14 +73,10 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return sets
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The registers (unsigned 16 bit: leading zeros, then mantissa bits) of a sorted, non-empty set.
-
-    An empty bucket takes the register of the first non-empty bucket in its own random order, so that registers of
-    small sets, too, are equal as often as the sets are similar."""
-    bits = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    edges = np.arange(BUCKETS, dtype=np.uint64) << bits
-    at = np.searchsorted(hashes, edges)
+def compressed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket of a sorted, non-empty set: the least hash's leading zeros and mantissa bits in 16 bits, and whether the bucket has a hash."""
+    bits = np.uint64(64 - (buckets.bit_length() - 1))
+    at = np.searchsorted(hashes, np.arange(buckets, dtype=np.uint64) << bits)
     full = at < np.append(at[1:], len(hashes))
     least = hashes[np.minimum(at, len(hashes) - 1)] & ((np.uint64(1) << bits) - np.uint64(1))
     # leading zeros among the bits that are left; one bit is set below them all, so there is a leading one
@@ -85,33 +84,41 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     length = np.frexp(least.astype(np.float64))[1].astype(np.uint64)
     length -= (least >> (length - np.uint64(1))) == 0  # rounded up to a power of two
     mantissa = (least >> (length - np.uint64(1 + MANTISSA))) & np.uint64((1 << MANTISSA) - 1)
-    out = ((bits - length) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
+    return (((bits - length) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16), full
+
+
+def registers(hashes: np.ndarray) -> np.ndarray:
+    """The registers for the bands. An empty bucket takes the register of the first non-empty bucket in its own random
+    order, so that registers of small sets, too, are equal as often as the sets are similar."""
+    out, full = compressed(hashes, BUCKETS)
     if not full.all():
         empty = np.flatnonzero(~full)
         out[empty] = out[_LENDERS[empty, full[_LENDERS[empty]].argmax(axis=1)]]
     return out
 
 
-def chance(n: np.ndarray) -> np.ndarray:
-    """How likely registers of two unrelated sets of about n members are equal."""
-    zeros = np.arange(57)[:, None]
-    load = np.maximum(n, 1)[None, :] / BUCKETS
-    mass = (1 - 2.0 ** -(zeros + 1)) ** load - np.where(zeros == 0, 0, (1 - 2.0**-zeros) ** load)
-    return (mass**2).sum(axis=0) / (1 << MANTISSA)
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """The registers of finer buckets folded into 1 to 255, and 0 for an empty one."""
+    out, full = compressed(hashes, MARKS)
+    return np.where(full, 1 + (out.astype(np.uint64) * _ODD >> np.uint64(40)) % np.uint64(255), 0).astype(np.uint8)
+
 
+def similar(equal: np.ndarray, used_a: np.ndarray, used_b: np.ndarray, both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may have a similarity of `percent` %: their sizes allow it, and the estimate is at most 4 standard errors below.
 
-def similar(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets with so many equal registers may have a similarity of `percent` %: sizes allow it, and the estimate is at most 4.5 standard errors below."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    by_chance = chance(np.atleast_1d(large).astype(float)).reshape(np.shape(large))
-    estimate = (equal / BUCKETS - by_chance) / (1 - by_chance)
-    level = percent / 100
-    error = np.sqrt(level * (1 - level) / np.minimum(BUCKETS, large))
-    return (100 * small >= percent * large) & (estimate >= level - 4.5 * error)
+    equal: how many marks are equal, empty ones too; used: how many are not empty, in each and in both. The union's
+    members that lie in one of the `used` buckets are a sample without replacement; unrelated members' marks are
+    equal by chance once in 255 times, and so much is taken off."""
+    used = used_a + used_b - both
+    by_chance, level = 1 / 255, percent / 100
+    estimate = ((equal - (MARKS - used)) / used - by_chance) / (1 - by_chance)
+    union = np.maximum((size_a + size_b) / (1 + level), used)
+    error = np.sqrt(level * (1 - level) / used * (union - used + 1) / union)
+    return (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (estimate >= level - 4 * error - 1 / used)
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, set_hash (16 bytes, null if there is no shingle), text_hash, registers."""
+    """id, n_shingles, set_hash (16 bytes, null if there is no shingle), text_hash, registers, marks."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +126,12 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(k, 300)
                 sets = shingle_sets(part.column(1).to_pylist())
                 yield pa.record_batch(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), part.column(2), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["id", "n_shingles", "set_hash", "text_hash", "registers"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), part.column(2), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([marks(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    names=["id", "n_shingles", "set_hash", "text_hash", "registers", "marks"],
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hash binary, text_hash long, registers binary")
+    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hash binary, text_hash long, registers binary, marks binary")
 
 
 def small_enough(table: DataFrame, row_bytes: int, most: int = 48 << 20) -> DataFrame:
@@ -180,30 +187,37 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "comp")
 
 
-def across(rows: DataFrame, percent: int, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, comp, n, registers) with one key and different comp that may be similar.
+def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 1000) -> DataFrame:
+    """Pairs (a, b) of rows (key, node, comp, n, marks) with one key and different comp that may be similar and whose place is in [first, end).
 
-    A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own."""
+    A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own. A pair's
+    place is its rank by similarity among all pairs of the one or the other there, whichever is less: it doesn't
+    depend on comp, so ranges of places that cover everything find every pair, the most promising ones first."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "comp", "n", "registers", "mine")
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine")
 
     def met(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group).combine_chunks()
         node, comp, n, mine = (t.column(c).to_numpy() for c in ("node", "comp", "n", "mine"))
-        regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        mark = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint8).reshape(-1, MARKS)
         lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
         left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-        found = [], []
-        for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if lo == hi else True)]
-            if len(js):
-                js = js[similar((regs[js] == regs[i]).sum(axis=1), n[js], n[i], percent)]
-                found[0].extend(np.minimum(node[js], node[i]).tolist())
-                found[1].extend(np.maximum(node[js], node[i]).tolist())
-        return pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+        found = pa.record_batch([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        if len(left) and len(right) and comp.min() < comp.max():
+            used = (mark > 0).astype(np.float32)
+            others, full = mark[right], used.sum(axis=1).astype(np.int64)
+            equal = np.stack([np.count_nonzero(others == mark[i], axis=1) for i in left])
+            both = (used[left] @ used[right].T).astype(np.int64)
+            may = similar(equal, full[left][:, None], full[right][None, :], both, n[left][:, None], n[right][None, :], percent) & (node[left][:, None] != node[right][None, :])
+            worth = np.where(may, equal, -1)
+            place = np.minimum(np.argsort(np.argsort(-worth, axis=1, kind="stable"), axis=1), np.argsort(np.argsort(-worth, axis=0, kind="stable"), axis=0))
+            i, j = np.nonzero(may & (place >= first) & (place < end) & (comp[left][:, None] != comp[right][None, :]))
+            a, b = node[left[i]], node[right[j]]
+            found = pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return found
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -222,7 +236,7 @@ def across(rows: DataFrame, percent: int, block: int = 1000) -> DataFrame:
     return spread.mapInArrow(each, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| of their sets of five-word shingles; component_id is
@@ -231,45 +245,54 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     never a component_id unless no other is reachable. Columns other than the two named are not read. An empty table
     gives an empty result. With 32 bands of 4 registers a pair at the threshold is missed with a chance of 5e-6."""
     sketch = written(sketched(docs, id_col, text_col), "sketch")
-    classes = sketch.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = sketch.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("marks").alias("marks"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def band(i: Column) -> Column:
         return F.xxhash64(i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND)))
 
     bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), band)).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
+    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     met = written(bands.join(shared, "key"), "bands")
 
-    registers_of = classes.select("node", "registers", "n")
-    hubs = met.groupBy("node").agg(F.min("hub").alias("hub")).where("hub < node")
+    marks_of = classes.select("node", "marks", "n")
+    wanted = written(met.select("node").distinct().join(classes.select("node", "text_hash", "set_hash"), "node"), "wanted")
+    sets = written(full_sets(docs, wanted, text_col), "sets")
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in (2, 3))
-            keep = similar((x == y).sum(axis=1), batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for k in range(0, batch.num_rows, 4000):
+                part = batch.slice(k, 4000)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, MARKS) for c in (2, 3))
+                keep = similar((x == y).sum(axis=1), (x > 0).sum(axis=1), (y > 0).sum(axis=1), ((x > 0) & (y > 0)).sum(axis=1), part.column(4).to_numpy(), part.column(5).to_numpy(), percent)
+                yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def pair_up(pairs: DataFrame) -> DataFrame:
-        ra = registers_of.select(F.col("node").alias("a"), F.col("registers").alias("x"), F.col("n").alias("n_a"))
-        rb = registers_of.select(F.col("node").alias("b"), F.col("registers").alias("y"), F.col("n").alias("n_b"))
-        return pairs.join(rb, "b").join(ra, "a").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(estimated, "a long, b long")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """The confirmed ones of the stored candidate pairs, stored."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "text_hash", "set_hash"), "node")
-        sets = written(full_sets(docs, written(wanted, "wanted"), text_col), "sets")
-        return written(confirmed(pairs, sets, percent), "edges")
-
-    stars = links(written(pair_up(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b"))), "stars"))
-    comps = components(stars)
-    # what shares a bucket but not a component yet
-    seen = met.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
-    open_rows = seen.join(mixed_keys, "key").join(registers_of, "node")
-    others = written(across(open_rows, percent), "others")
-    if not others.isEmpty():
-        comps = components(written(stars.unionByName(links(others)), "all"))
+        of_a = marks_of.select(F.col("node").alias("a"), F.col("marks").alias("x"), F.col("n").alias("n_a"))
+        of_b = marks_of.select(F.col("node").alias("b"), F.col("marks").alias("y"), F.col("n").alias("n_b"))
+        return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(estimated, "a long, b long")
+
+    def with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+        return rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    # rounds of stars: each class that shares a bucket with another component is compared with one random hub of its buckets
+    edges, comps = None, None
+    for r in range(stars):
+        seen = with_comp(met, comps)
+        hubs = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("comp"))).alias("hub"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h")
+        chosen = seen.join(hubs, "key").where("comp != hub.comp").groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "hub.node", F.lit(r)), F.col("hub.node").alias("node"))).alias("hub"))
+        pairs = written(pair_up(chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), "stars")
+        found = confirmed(pairs, sets, percent)
+        edges = written(found if edges is None else edges.unionByName(found), "edges")
+        comps = components(edges)
+    # what shares a bucket but not a component yet, the most similar first
+    for first, end in ((0, 2), (2, 1 << 62)):
+        seen = with_comp(met, comps)
+        mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
+        others = written(across(seen.join(mixed_keys, "key").join(marks_of, "node"), percent, first, end), "others")
+        if not others.isEmpty():
+            edges = written(edges.unionByName(confirmed(others, sets, percent)), "edges")
+            comps = components(edges)
     linked = classes.select("node", "set_hash", "rep", "rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
     of_set = linked.join(least, "comp").select("set_hash", "component_id")
@@ -280,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns; of rows with one id and equal texts, one."""
-    found = written(near_duplicates(docs, percent, id_col, text_col), "near")
+    found = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "near")
     gone = written(found.where("not kept").select(id_col).distinct(), "gone")
     left = docs.join(small_enough(gone, 24), id_col, "left_anti")
     again = written(found.groupBy(id_col).count().where("count > 1").select(id_col), "again")
