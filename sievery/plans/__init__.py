@@ -1,0 +1,6 @@
+"""The registered queries and their SQL."""
+
+from . import search
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "search"]
