@@ -54,6 +54,12 @@ def hamming_matches(left: DataFrame, right: DataFrame, most: int, bits: int = 64
     return a.join(b, "k").where(apart <= most).select("id_a", "id_b", apart.alias("distance")).distinct()
 
 
+def windows(words: DataFrame, n: int) -> DataFrame:
+    """words (doc_id, w) with each place (at, from 0) and the hash (key) of the n words from there."""
+    places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+    return words.select("doc_id", "w", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("at", "key"))
+
+
 def containments(texts: DataFrame, phrases: DataFrame, width: int = 8) -> DataFrame:
     """texts (doc_id, text) and phrases (item_id, phrase): pairs in which the text's words hold the phrase's words in a row.
 
@@ -65,7 +71,6 @@ def containments(texts: DataFrame, phrases: DataFrame, width: int = 8) -> DataFr
     words = texts.select("doc_id", F.filter(F.split("text", gap), lambda w: w != "").alias("w"))
     found = None
     for n in sizes:
-        starts = words.select("doc_id", "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("at", "key"))
-        one = starts.join(p.where(F.col("n") == n), "key").where(F.slice("w", F.col("at") + 1, F.size("pw")) == F.col("pw")).select("doc_id", "item_id")
+        one = windows(words, n).join(p.where(F.col("n") == n), "key").where(F.slice("w", F.col("at") + 1, F.size("pw")) == F.col("pw")).select("doc_id", "item_id")
         found = one if found is None else found.unionByName(one)
     return found.distinct() if found is not None else texts.sparkSession.createDataFrame([], "doc_id long, item_id long")

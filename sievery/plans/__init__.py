@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import search
+from . import relational, search
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "search"]
+__all__ = ["ORACLES", "QUERIES", "relational", "search"]
