@@ -188,16 +188,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of rows (key, node, comp, n, marks) with one key and different comp that may be similar and whose place is in [first, end).
+    """Pairs (a, b) of rows (key, band, node, comp, n, marks, registers) with one key and different comp that may be similar and whose place is in [first, end).
 
     A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own. A pair's
     place is its rank by similarity among all pairs of the one or the other there, whichever is less: it doesn't
-    depend on comp, so ranges of places that cover everything find every pair, the most promising ones first."""
+    depend on comp, so ranges of places that cover everything find every pair, the most promising ones first. A pair
+    that shares several keys comes from the first band in which its registers are equal alone."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine")
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine", "band", "registers")
 
     def met(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group).combine_chunks()
@@ -215,7 +216,9 @@ def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 100
             worth = np.where(may, equal, -1)
             place = np.minimum(np.argsort(np.argsort(-worth, axis=1, kind="stable"), axis=1), np.argsort(np.argsort(-worth, axis=0, kind="stable"), axis=0))
             i, j = np.nonzero(may & (place >= first) & (place < end) & (comp[left][:, None] != comp[right][None, :]))
-            a, b = node[left[i]], node[right[j]]
+            bands = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint64).reshape(len(node), -1)[:, : t.column("band")[0].as_py()]
+            once = np.concatenate([np.zeros(0, bool), *[~(bands[left[i[k : k + 10_000]]] == bands[right[j[k : k + 10_000]]]).any(axis=1) for k in range(0, len(i), 10_000)]])
+            a, b = node[left[i[once]]], node[right[j[once]]]
             found = pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         return found
 
@@ -251,11 +254,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col:
     def band(i: Column) -> Column:
         return F.xxhash64(i, F.substring(F.col("registers"), i * (2 * BAND) + 1, F.lit(2 * BAND)))
 
-    bands = classes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), band)).alias("key"))
+    bands = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // BAND - 1)), band)).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     met = written(bands.join(shared, "key"), "bands")
 
     marks_of = classes.select("node", "marks", "n")
+    sketch_of = classes.select("node", "marks", "n", "registers")
     wanted = written(met.select("node").distinct().join(classes.select("node", "text_hash", "set_hash"), "node"), "wanted")
     sets = written(full_sets(docs, wanted, text_col), "sets")
 
@@ -289,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col:
     for first, end in ((0, 2), (2, 1 << 62)):
         seen = with_comp(met, comps)
         mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
-        others = written(across(seen.join(mixed_keys, "key").join(marks_of, "node"), percent, first, end), "others")
+        others = written(across(seen.join(mixed_keys, "key").join(sketch_of, "node"), percent, first, end), "others")
         if not others.isEmpty():
             edges = written(edges.unionByName(confirmed(others, sets, percent)), "edges")
             comps = components(edges)
