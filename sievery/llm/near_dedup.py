@@ -192,13 +192,13 @@ def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 100
 
     A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own. A pair's
     place is its rank by similarity among all pairs of the one or the other there, whichever is less: it doesn't
-    depend on comp, so ranges of places that cover everything find every pair, the most promising ones first. A pair
+    depend on comp or on the order in which rows arrive, so ranges of places that cover everything find every pair, the most promising ones first. A pair
     that shares several keys comes from the first band in which its registers are equal alone."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine", "band", "registers")
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine", "band", "registers")
 
     def met(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group).combine_chunks()
