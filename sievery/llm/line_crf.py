@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labelled: DataFrame, per_class: int = 1000, character
     usable = labelled.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     prior = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     chosen = sampled(usable, "quality", per_class)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), 1, characters).alias("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), 1, characters).alias("text"))
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     return fit([r["text"] for r in found], [r["quality"] for r in found], prior)
 

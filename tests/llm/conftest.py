@@ -23,7 +23,7 @@ def written(spark, path, docs, labels):
 @pytest.fixture(scope="session")
 def odd_dir(spark, tmp_path_factory):
     docs = spark.createDataFrame(odd_rows(), SCHEMA).coalesce(2)
-    labels = spark.createDataFrame([(i, None if i == 3 else i % 2, 0) for i in [*range(15), None, 6]], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([*[(i, None if i == 3 else i % 2, 0) for i in range(15)], (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     return written(spark, tmp_path_factory.mktemp("odd"), docs, labels)
 
 
