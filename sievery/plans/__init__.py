@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import relational, search
+from . import curated, relational, search
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "search"]
+__all__ = ["ORACLES", "QUERIES", "curated", "relational", "search"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sievery.functions import text as tx
 from sievery.functions.vectors import composed, norm
-from sievery.operators import fusion, leakage, metrics, sampling
+from sievery.operators import fusion, leakage, metrics, sampling, understanding
 from sievery.sources import tables
 
 
@@ -137,3 +137,9 @@ def test_upsert_and_markdown(spark):
         got = {(r["tier"], r["method"]): r["score"] for r in tables.upserted(old, new, ["tier", "method"], "at", overwrite).collect()}
         assert got == {(1, "m"): want, (2, "m"): 0.3}
     assert tables.markdown(old).splitlines()[2] == "| 1 | m | 0.1 | 1 |"
+
+
+def test_synonyms_take_the_longest_match(spark):
+    q = spark.createDataFrame([(1, "blue ring"), (2, "a blue hat"), (3, "bluebird"), (4, None)], "id int, t string")
+    got = {r["id"]: r["expanded"] for r in understanding.expand_synonyms(q, "t", {"blue": ["navy"], "blue ring": ["sapphire"]}).collect()}
+    assert got == {1: "blue ring sapphire", 2: "a blue hat navy", 3: "bluebird", 4: None}
