@@ -47,17 +47,21 @@ TEMPLATES = [
 ]
 
 
-def bigrams(text: Column) -> Column:
-    """The distinct pairs of neighbouring words; words are runs of letters a-z and digits of the lower-cased text, with points between digits."""
-    word = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:\\.[0-9]+)*"), F.lit(0))
-    n = F.greatest(F.size(word) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(word, 1, n), F.slice(word, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+def words_of(text: Column) -> Column:
+    """Runs of letters a-z and digits of the lower-cased text, with points between digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:\\.[0-9]+)*"), F.lit(0))
+
+
+def bigrams(words: Column) -> Column:
+    """The distinct pairs of neighbouring words, as 64-bit hashes."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
 def template_bigrams(spark: SparkSession, templates: list[tuple[str, str]], least: float) -> DataFrame:
     """template, license, size, lo, hi (of unit sizes that can reach `least`), bigram."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, license string, notice string")
-    sized = rows.withColumn("grams", bigrams(F.col("notice"))).withColumn("size", F.size("grams"))
+    sized = rows.withColumn("grams", bigrams(words_of(F.col("notice")))).withColumn("size", F.size("grams"))
     ratio = (2 - least) / least
     return sized.select("template", "license", "size", F.ceil(F.col("size") / ratio - F.lit(1e-9)).alias("lo"), F.floor(F.col("size") * ratio + F.lit(1e-9)).alias("hi"), F.explode("grams").alias("gram"))
 
@@ -81,8 +85,9 @@ def scan_licenses(docs: DataFrame, least: float = 0.7, templates: list[tuple[str
 
     longer = F.filter(F.concat(units("paragraph", paragraphs), F.when(F.size(paragraphs) > 1, units("text", F.array(text))).otherwise(F.array())), lambda u: F.contains(F.rtrim(u["unit_text"]), F.lit("\n")))
     found = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.explode(F.concat(units("line", lines), longer)).alias("u")).select("id", "row", "u.*")
-    # a unit within the bounds has at most as many words as bigrams and one, or repeats some; its bigrams are counted exactly
-    found = found.withColumn("grams", bigrams(F.col("unit_text"))).withColumn("n", F.size("grams")).where(F.col("n").between(bounds["lo"], bounds["hi"]))
+    # with k distinct words a unit has k - 1 distinct bigrams at least, so a unit of too many words needs no bigrams
+    found = found.withColumn("words", words_of(F.col("unit_text"))).where(F.size("words") > F.lit(bounds["lo"])).where((F.size("words") <= F.lit(bounds["hi"])) | (F.size(F.array_distinct("words")) <= F.lit(bounds["hi"] + 1)))
+    found = found.withColumn("grams", bigrams(F.col("words"))).withColumn("n", F.size("grams")).where(F.col("n").between(bounds["lo"], bounds["hi"]))
     shared = found.select("id", "row", "unit", "unit_no", "n", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram").where("n BETWEEN lo AND hi")
     counts = shared.groupBy("id", "row", "unit", "unit_no", "n", "template", "license", "size").agg(F.count("*").alias("both"))
     dice = counts.withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size"))).where(F.col("dice") >= least)
