@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def ndcg(run: DataFrame, k: int) -> DataFrame:
 
 def ndcg_binary_fixed(run: DataFrame, k: int = 5) -> DataFrame:
     """Hits' discounts over those of k hits, however many there are."""
-    full = sum(1 / __import__("math").log2(i + 1) for i in range(1, k + 1))
+    full = sum(1 / math.log2(i + 1) for i in range(1, k + 1))
     return run.groupBy("query_id").agg((gain_sum(k, (F.col("grade") > 0).cast("double"), F.col("rank")) / full).alias("ndcg"))
 
 
