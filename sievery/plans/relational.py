@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievery.functions import text as tx
-from sievery.operators import leakage, metrics, profiling, sampling, stats
+from sievery.operators import leakage, profiling, sampling, stats
 from sievery.sources import tables
 
 from .base import RUNS_SQL, query, run_full, run_prefix, table, vectors
