@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from sievery.llm.common import documents, written
 
@@ -10,7 +12,10 @@ from .test_near_dedup import brute
 
 
 def test_stages(spark):
-    docs, tables = documents(spark, SF), []
+    # the smallest table holds no secrets: some are planted
+    secret = F.concat("text", F.lit(' token = "'), F.sha1(F.col("doc_id").cast("string").cast("binary")), F.lit('"'))
+    planted = written(documents(spark, SF).withColumn("text", F.when(F.col("doc_id") % 10 == 0, secret).otherwise(F.col("text"))), "planted")
+    docs, tables = planted, []
     for name, stage in cp.STAGES:
         docs = written(stage(spark, docs, SF), "test")
         tables.append((name, docs.columns, [r.asDict() for r in docs.collect()]))
