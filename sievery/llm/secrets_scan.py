@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, let
 
+# A private key is its header, body and END line. Without an END line the body goes on over encryption headers and base64
+# runs of 16 letters or more, up to the first shorter word, other dashes or a letter beyond ASCII; a short last line belongs to it.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+PEM_SHORT = r"(?<![A-Za-z0-9+/=\\])(?=[+/=]*[A-Za-z0-9])[A-Za-z0-9+/=]{1,15}(?![A-Za-z0-9+/=])"
+PEM_LAST = r"(?:(?<=[A-Za-z0-9+/]{16}[\"']?(?:\r?\n|\\n)[\"' \t>#*]{0,8})[A-Za-z0-9+/]{1,15}={0,2}(?=\s*$|[\"' \t]*\r?\n|\\n|[\"'])|(?<=[A-Za-z0-9+/]{16} )[A-Za-z0-9+/]{1,15}={0,2}(?=\s*$)|(?<=[A-Za-z0-9+/=]))"
+PEM_OPEN = r"(?:\s|\\[nr]){0,8}(?:Proc-Type: ?4,ENCRYPTED(?:\s|\\[nr]){0,8})?(?:DEK-Info: ?[0-9A-Za-z-]+(?:,[0-9A-Fa-f]+)?)?(?:(?!-----|" + PEM_SHORT + r")[\x00-\x7F])*" + PEM_LAST
 # The shapes of candidates. Each names its kind; the value is the whole match, or what follows an assignment.
 SHAPES = [
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -24,8 +30,8 @@ SHAPES = [
     ("google_key", r"\bAIza[0-9A-Za-z_-]{35}"),
     ("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("jwt", r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    ("assignment", r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?[^\s\"'<>,;#]{6,}"),
+    ("private_key", PEM + r"(?:(?s:(?:(?!-----).)*+)-----END [A-Z ]*PRIVATE KEY-----|" + PEM_OPEN + ")?"),
+    ("assignment", r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?(?:(?!" + PEM + r")[^\s\"'<>,;#]){6,}"),
     ("hex", r"\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b"),
 ]
 PREFIX = r"^(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?"
@@ -96,8 +102,16 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple]:
     """(kind, value, before, after, path, label) made by rule: random keys where secrets stand, and placeholders, digests, identifiers and words where they are mistaken for them."""
     r = random.Random(seed)
     hexes, mixed, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
+    pem = random.Random(seed + 1)  # draws of its own: the other findings stay as they are
     made = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     filler = lambda: " ".join(made(string.ascii_lowercase, r.randint(2, 9)) for _ in range(r.randint(0, 4)))
+
+    def block(name: str) -> str:
+        """A private key of 2 to 50 lines, some with the line ends escaped or spaced, some cut off."""
+        gap, body = pem.choice(["\n", "\n", "\r\n", "\\n", " "]), "".join(pem.choice(mixed + "+/") for _ in range(64 * pem.randint(2, 50) - pem.randint(0, 40)))
+        lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+        return gap.join([f"-----BEGIN {name}PRIVATE KEY-----", *lines, *([f"-----END {name}PRIVATE KEY-----"] if pem.random() < 0.8 else [])])
+
     paths = ["src1", "src/main.py", "app/settings.yaml", "web7", "server/config.json"]
     rows = []
     for _ in range(n):
@@ -107,7 +121,7 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple]:
             ("assignment", made(hexes, r.choice([32, 40, 64]))), ("assignment", made(mixed, r.randint(8, 40))), ("assignment", made(hexes, r.randint(8, 31))),
             ("aws_key", "AKIA" + made(upper, 16)), ("github_token", "ghp_" + made(mixed, 36)), ("slack_token", "xoxb-" + made("0123456789", 12) + "-" + made(mixed, 24)),
             ("google_key", "AIza" + made(mixed + "_-", 35)), ("stripe_key", "sk_live_" + made(mixed, 24)), ("jwt", "eyJ" + made(mixed, 20) + "." + made(mixed, 40) + "." + made(mixed, 43)),
-            ("private_key", "-----BEGIN " + r.choice(["RSA ", "EC ", ""]) + "PRIVATE KEY-----"),
+            ("private_key", block(r.choice(["RSA ", "EC ", ""]))),
         ])
         if kind not in ("assignment",):
             before = r.choice([before, (filler() + " ")[-48:]])
@@ -185,11 +199,14 @@ def scan_secrets(docs: DataFrame, trees: list[dict], least: float = 0.5, id_col:
 
 
 def redacted(docs: DataFrame, trees: list[dict], least: float = 0.5, text_col: str = "text", path_col: str = "source", mark: str = "<SECRET>") -> DataFrame:
-    """docs with every confirmed secret of the text replaced by `mark`, and _secrets, how many it had. A null text stays null."""
+    """docs with every confirmed secret of the text replaced by `mark`, and _secrets, how many it had. A null text stays null.
+
+    Longer values go first: one that holds another is replaced as a whole."""
     text = F.col(text_col).cast("string")
     values = F.transform(F.filter(found_secrets(F.coalesce(text, F.lit("")), F.coalesce(F.col(path_col).cast("string"), F.lit("")), trees), lambda f: f["score"] >= least), lambda f: f["value"])
     marked = docs.withColumn("_values", values)
-    clean = F.when(F.size("_values") == 0, text).otherwise(F.aggregate("_values", F.coalesce(text, F.lit("")), lambda t, v: F.call_function("replace", t, v, F.lit(mark))))
+    by_length = F.sort_array(F.transform("_values", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False)["v"]
+    clean = F.when(F.size("_values") == 0, text).otherwise(F.aggregate(by_length, F.coalesce(text, F.lit("")), lambda t, v: F.call_function("replace", t, v, F.lit(mark))))
     return marked.withColumn(text_col, clean).withColumn("_secrets", F.size("_values")).drop("_values")
 
 

@@ -121,6 +121,39 @@ def test_secrets_and_placeholders(spark):
     assert clean[0]["text"] == "key <SECRET> here" and clean[2]["text"] == texts[2][0] and clean[0]["_secrets"] == 1
 
 
+def test_no_part_of_a_private_key_survives(spark):
+    lines = [f"{i:02d}" + "QmFzZTY0Qm9keQ+/" * 3 + "kL9xWv3TzR7pYs" for i in range(50)]
+    head, end, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "Zm9vYg=="
+    plain = "\n".join([head, *lines, tail, end])
+    encrypted = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", ""]
+    cases = [
+        ("a " + plain + " b", plain, "a <SECRET> b"),
+        ("a " + plain.replace("\n", " ") + " b", plain.replace("\n", " "), "a <SECRET> b"),
+        ('{"k": "' + plain.replace("\n", "\\n") + '\\n"}', plain.replace("\n", "\\n"), '{"k": "<SECRET>\\n"}'),
+        ("token: " + plain + "\nb", plain, "token: <SECRET>\nb"),
+        ("\n".join([head, *encrypted, *lines, tail, end, "b"]), "\n".join([head, *encrypted, *lines, tail, end]), "<SECRET>\nb"),
+        ("\n".join(["cut off", head, *lines[:9], lines[9][:30]]), "\n".join([head, *lines[:9], lines[9][:30]]), "cut off\n<SECRET>"),
+        ("\n".join(["cut off", head, *encrypted, *lines[:9], tail]), "\n".join([head, *encrypted, *lines[:9], tail]), "cut off\n<SECRET>"),
+        ("\n".join([head, *lines, tail, "", "More text follows here."]), "\n".join([head, *lines, tail]), "<SECRET>\n\nMore text follows here."),
+        ("\n".join([head, *lines[:20], plain, "b"]), "\n".join([head, *lines[:20]]), "<SECRET>\n<SECRET>\nb"),
+        ("\n".join([head, *(lines * 200), end]), "\n".join([head, *(lines * 200), end]), "<SECRET>"),
+    ]
+    mention = "files that start with " + head + " are keys\n" + plain
+    docs = spark.createDataFrame([(i, t, "src1") for i, t in enumerate([*[c[0] for c in cases], mention])], "doc_id long, text string, source string")
+    trees = secrets_scan.trained(spark)
+    found = {}
+    for r in secrets_scan.scan_secrets(docs, trees).orderBy("start").collect():
+        found.setdefault(r["doc_id"], []).append(r)
+    clean = {r["doc_id"]: r["text"] for r in secrets_scan.redacted(docs, trees).collect()}
+    for i, (_, value, want) in enumerate(cases):
+        assert (found[i][0]["kind"], found[i][0]["value"], found[i][0]["is_secret"]) == ("private_key", value, True)
+        assert clean[i] == want
+    assert [r["value"] for r in found[len(cases)]] == [head, plain] and not any(x in clean[len(cases)] for x in [*lines, tail, end])
+    # keys of one type differ, as their values hold the bodies
+    assert found[0][0]["value"] != found[5][0]["value"]
+    assert all("PRIVATE KEY-----" not in v[-20:] or "-----END" in v for k, v, *_ in secrets_scan.labelled_findings() if k == "private_key")
+
+
 def test_forest_expression_is_the_models(spark):
     from pyspark.sql import functions as F
 
