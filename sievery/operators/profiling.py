@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sievery.functions.text import token_bigrams, tokens, word_count
 
+from .places import binned
+
 
 def text_profile(rows: DataFrame, text: Column) -> DataFrame:
     """One row: counts, null rate, distinct texts, share of repeated ones, words and characters, buckets of words."""
@@ -61,6 +63,17 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def runs_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with run: consecutive rows of one key, in order, share a number. For data without partitions to split it by, this order is global."""
-    w = Window.orderBy(order)
-    return rows.withColumn("_new", (F.lag(key).over(w).isNull() | (F.lag(key).over(w) != F.col(key))).cast("int")).withColumn("run", F.sum("_new").over(w)).drop("_new")
+    """rows with run: consecutive rows of one key, in the order of a numeric column, share a number.
+
+    Changes are counted within bins of the order; those at and before a bin's first row come from the bins' sums and boundary keys."""
+    w = Window.partitionBy("_bin").orderBy(order)
+    inside = (F.row_number().over(w) > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(w))
+    placed = binned(rows, order).withColumn("_new", inside.cast("int"))
+    pair = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
+    bins = placed.groupBy("_bin").agg(F.sum("_new").alias("c"), F.min(pair).alias("first"), F.max(pair).alias("last"))
+    of_bins = Window.orderBy("_bin")
+    edge = (~F.col("first.k").eqNullSafe(F.lag("last.k").over(of_bins))).cast("long")
+    earlier = F.coalesce(F.sum("c").over(of_bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = bins.withColumn("edge", edge).select("_bin", (F.sum("edge").over(of_bins) + earlier).alias("_start"))
+    numbered = placed.withColumn("_in", F.sum("_new").over(w)).join(F.broadcast(starts), "_bin")
+    return numbered.withColumn("run", F.col("_start") + F.col("_in")).select(*rows.columns, "run")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sievery.functions.text import hashed_unit
 
+from .places import binned, numbered
+
 
 def per_group(rows: DataFrame, by: list[str], n: Column | int, order: list[Column | str]) -> DataFrame:
     """The first n rows of each group; Spark cuts the groups before its shuffle where n is a number."""
@@ -35,10 +37,12 @@ def share_sample(rows: DataFrame, by: str, shares: dict[str, float], total: int,
 
 
 def proportional_sample(rows: DataFrame, by: str, total: int, floor: int, seed: int, key: str) -> DataFrame:
-    """max(floor, total * the group's share) rows of each group."""
+    """max(floor, total * the group's share) rows of each group; bins are the first digits of the MD5 that orders them."""
     sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
     want = sizes.withColumn("_want", F.greatest(F.lit(floor), F.floor(F.lit(total) * F.col("_n") / F.sum("_n").over(Window.partitionBy()))))
-    return per_group(rows.join(F.broadcast(want.select(by, "_want")), by), [by], F.col("_want"), shuffled(seed, key)).drop("_want")
+    order = shuffled(seed, key)
+    placed = numbered(rows.withColumn("_bin", F.substring(order[0], 1, 3)), [by], order)
+    return placed.join(F.broadcast(want.select(by, "_want")), by).where("_nth <= _want").drop("_nth", "_want")
 
 
 def running_quota(rows: DataFrame, by: str, order: str, quota: int) -> DataFrame:
@@ -47,10 +51,9 @@ def running_quota(rows: DataFrame, by: str, order: str, quota: int) -> DataFrame
 
 
 def soft_quota(rows: DataFrame, by: str, order: str, cap: int, seed: int) -> DataFrame:
-    """All rows up to the cap; after it, the n-th is kept with probability 1 / sqrt(n / cap)."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    keep = (F.col("_n") <= cap) | (hashed_unit(str(seed), F.col(order)) < 1 / F.sqrt(F.col("_n") / F.lit(cap)))
-    return rows.withColumn("_n", n).where(keep).drop("_n")
+    """All rows up to the cap; after it, the n-th is kept with probability 1 / sqrt(n / cap). The order is a numeric column."""
+    keep = (F.col("_nth") <= cap) | (hashed_unit(str(seed), F.col(order)) < 1 / F.sqrt(F.col("_nth") / F.lit(cap)))
+    return numbered(binned(rows, order), [by], [order]).where(keep).drop("_nth")
 
 
 def rank_bucket(rank: Column) -> Column:

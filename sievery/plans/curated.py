@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievery.functions import text as tx
 from sievery.functions.vectors import composed, dot, unit
 from sievery.operators import curation, fusion, leakage, sampling, understanding
+from sievery.operators.places import binned, numbered
 
 from .base import RUNS_SQL, query, query_vectors, run_full, run_prefix, table, vectors
 from .search import PAIRS_SQL, _pairs
@@ -220,8 +221,9 @@ def majority_label(spark, d):
 
 @query("top_bottom_fifth", "WITH s AS (SELECT p_name, avg(p_retailprice) AS m, row_number() OVER (ORDER BY avg(p_retailprice) DESC, p_name) AS r, count(*) OVER () AS n FROM part GROUP BY p_name) SELECT round(avg(CASE WHEN r <= n // 5 THEN m END), 6) AS top_mean, round(avg(CASE WHEN r > n - n // 5 THEN m END), 6) AS bottom_mean FROM s")
 def top_bottom_fifth(spark, d):
-    s = table(spark, d, "part").groupBy("p_name").agg(F.avg("p_retailprice").alias("m"))
-    s = s.withColumn("r", F.row_number().over(Window.orderBy(F.desc("m"), "p_name"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    # means are stored: sums of doubles computed twice could differ and fall into another bin
+    s = table(spark, d, "part").groupBy("p_name").agg(F.avg("p_retailprice").alias("m")).withColumn("down", -F.col("m")).persist()
+    s = numbered(binned(s, "down"), [], ["down", "p_name"]).withColumnRenamed("_nth", "r").join(F.broadcast(s.agg(F.count("*").alias("n"))))
     fifth = F.expr("n div 5")
     return s.agg(F.round(F.avg(F.when(F.col("r") <= fifth, F.col("m"))), 6).alias("top_mean"), F.round(F.avg(F.when(F.col("r") > F.col("n") - fifth, F.col("m"))), 6).alias("bottom_mean"))
 

@@ -133,10 +133,10 @@ def group_size_filter(spark, d):
 
 @query("qrels_normalise", "SELECT query_id, doc_id, max(g)::INT AS grade FROM (SELECT user_id::VARCHAR AS query_id, unnest(string_split(string_agg(event_id::VARCHAR, ' '), ' ')) AS doc_id, CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS g FROM events WHERE event_type IN ('purchase', 'view') GROUP BY user_id, event_type) GROUP BY ALL")
 def qrels_normalise(spark, d):
-    e = table(spark, d, "events")
-    ids = lambda kind: F.array_join(F.collect_list(F.when(F.col("event_type") == kind, F.col("event_id").cast("string"))), " ")
-    raw = e.groupBy(F.col("user_id").cast("string").alias("query_id")).agg(ids("purchase").alias("positive_ids"), ids("view").alias("negative_ids"))
-    return tables.graded(raw)
+    e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "view") & F.col("event_id").isNotNull())
+    grade = F.when(F.col("event_type") == "purchase", 2).otherwise(1)
+    rows = e.select(F.col("user_id").cast("string").alias("query_id"), F.col("event_id").cast("string").alias("doc_id"), grade.alias("grade"))
+    return rows.groupBy("query_id", "doc_id").agg(F.max("grade").alias("grade"))
 
 
 @query("split_by_text", f"SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, {U.format('lower(trim(text))')} AS u FROM documents)")
