@@ -245,8 +245,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col:
     Documents are linked if 100 * |A & B| >= percent * |A | B| of their sets of five-word shingles; component_id is
     the least id reachable, kept whether that is the row's own. A null text, or one without words, has no shingle, is
     linked with nothing and keeps its id as component_id. Equal texts are linked, also under one id; a null id is
-    never a component_id unless no other is reachable. Columns other than the two named are not read. An empty table
-    gives an empty result. With 32 bands of 4 registers a pair at the threshold is missed with a chance of 5e-6."""
+    never a component_id unless no other is reachable. So all rows of the least id are marked as kept, and all rows of
+    a group that has null ids only; deduplicated() keeps one of them. Columns other than the two named are not read. An
+    empty table gives an empty result. With 32 bands of 4 registers a pair at the threshold is missed with a chance of 5e-6."""
+    component = F.coalesce("component_id", "id")
+    out = linked_rows(docs, percent, stars, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, text_hash of each row, and of rows in groups of two or more comp (a number for the group) and component_id."""
     sketch = written(sketched(docs, id_col, text_col), "sketch")
     classes = sketch.where(F.col("set_hash").isNotNull()).groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("marks").alias("marks"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -299,22 +307,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col:
             comps = components(edges)
     linked = classes.select("node", "set_hash", "rep", "rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
-    of_set = linked.join(least, "comp").select("set_hash", "component_id")
-    out = sketch.select(F.col("id"), "n_shingles", "set_hash").join(of_set, "set_hash", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    of_set = linked.join(least, "comp").select("set_hash", "comp", "component_id")
+    return sketch.select("id", "n_shingles", "text_hash", "set_hash").join(of_set, "set_hash", "left").drop("set_hash")
 
 
 def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns; of rows with one id and equal texts, one."""
-    found = written(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "near")
-    gone = written(found.where("not kept").select(id_col).distinct(), "gone")
-    left = docs.join(small_enough(gone, 24), id_col, "left_anti")
-    again = written(found.groupBy(id_col).count().where("count > 1").select(id_col), "again")
+    """One row of each component of near_duplicates(), with all its columns: of the least id (null last), then of the least text hash.
+
+    Rows without a shingle are in no component and stay. Of rows with one id (also null) and equal texts, one stays.
+    It is decided by id and text: an id's other texts stay if they are the first of their own component."""
+    found = written(linked_rows(docs, percent, 3, id_col, text_col), "near")
+    grouped = found.where("comp IS NOT NULL")
+    first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))).alias("first"))
+    others = grouped.select("comp", "id", "text_hash").distinct().join(first, "comp").where("NOT (id <=> first.id AND text_hash = first.text_hash)")
+    gone = written(others.select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+
+    def same(other: DataFrame) -> Column:
+        return hashed[id_col].eqNullSafe(other["_gone_id"]) & (hashed["_hash"] == other["_gone_hash"])
+
+    left = hashed.join(small_enough(gone, 32), same(gone), "left_anti")
+    again = written(found.groupBy(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).count().where("count > 1").drop("count"), "again")
     if again.isEmpty():
-        return left
-    repeated = left.join(again, left[id_col].eqNullSafe(again[id_col]), "left_semi").withColumn("_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return left.join(again, left[id_col].eqNullSafe(again[id_col]), "left_anti").unionByName(repeated)
+        return left.drop("_hash")
+    repeated = left.join(again, same(again), "left_semi").dropDuplicates([id_col, "_hash"])
+    return left.join(again, same(again), "left_anti").unionByName(repeated).drop("_hash")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,24 @@ def test_components_match_brute_force(spark):
     assert kept == sorted(i for i, (_, c) in got.items() if i == c)
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    r = random.Random(8)
+    text = lambda: [("w%d" % r.randrange(10**6)) for _ in range(60)]
+    a, b, c, d, e = text(), text(), text(), text(), text()
+    near = lambda w, k: " ".join([*w[:-1], f"end{k}"])
+    rows = [
+        (3, near(a, 0)), (5, near(a, 1)), (5, near(b, 0)),  # id 5: a near copy of 3, and a text of its own
+        (None, near(c, 0)), (None, near(c, 1)), (None, near(c, 1)), (None, near(d, 0)),  # null ids: three near copies, and a text of its own
+        (7, near(e, 0)), (7, near(e, 1)), (8, near(e, 2)), (None, near(e, 3)), (9, ""), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x["doc_id"], x["text"]) for x in nd.deduplicated(df).collect()]
+    assert set(got) <= set(rows) and len(set(got)) == len(got)
+    assert [sum(bool(t) and t.startswith(w[0] + " ") for _, t in got) for w in (a, b, c, d, e)] == [1] * 5
+    assert {i for i, t in got if t and t.startswith(e[0] + " ")} == {7}
+    assert (3, rows[0][1]) in got and (5, rows[2][1]) in got and (9, "") in got and (None, None) in got
+
+
 def test_blocks_find_every_pair(spark):
     """Ranges of places cover all pairs of different components, whatever the block size."""
     sets = nd.shingle_sets([t for _, t in variants()[:60]])
