@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a text: runs of anything but space, \t, \n, \v, \f and \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
+#: Bytes of text that a task looks at together, and of an Arrow batch; a longer text is a slice or batch of its own.
+SLICE, ARROW = 1 << 20, 8 << 20
+_resident: dict = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; a file that Spark reads in fewer tasks than it has cores is dealt to all of them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; in local mode only, a temporary folder where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sievery-")
         spark.sparkContext.setCheckpointDir(found)
@@ -62,3 +73,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+
+
+def mapped(rows: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """rows.mapInArrow(each, schema) with Arrow batches of at most ARROW bytes or one row: long texts don't fill a worker."""
+    conf = rows.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > ARROW:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW))
+    return rows.mapInArrow(each, schema)
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = SLICE, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts (column number `text`) take at most `most` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + most, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def resident(key: tuple, make: Callable[[], object]) -> object:
+    """make(), kept for the Python worker's life until another key is asked for: a reused worker holds one operator's model."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

@@ -7,65 +7,96 @@ which a logistic curve turns into the probability of label 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, held_out, labels, sampled
-from .near_dedup import mixed, powers
+from .common import documents, held_out, labels, mapped, sampled, slices
+from .hashing import runs
 
 N_OWN = 12
-_CLASS = np.zeros((256, 6), np.int64)  # symbols, upper case, lower case or not ASCII, digits, pipes, exclamation marks
-_CLASS[[ord(c) for c in "#*$%&<>=@^~\\{}[]_"], 0] = 1
-_CLASS[65:91, 1] = 1
-_CLASS[97:123, 2] = 1
-_CLASS[128:, 2] = 1
-_CLASS[48:58, 3] = 1
-_CLASS[ord("|"), 4] = 1
-_CLASS[ord("!"), 5] = 1
+#: Lines whose features are held at once.
+LINES = 1 << 14
+# of each byte: symbol, upper case, lower case or not ASCII, digit, pipe, exclamation mark, or anything else
+_CLASS = np.full(256, 6, np.int64)
+_CLASS[[ord(c) for c in "#*$%&<>=@^~\\{}[]_"]] = 0
+_CLASS[65:91] = 1
+_CLASS[97:123] = 2
+_CLASS[128:] = 2
+_CLASS[48:58] = 3
+_CLASS[ord("|")] = 4
+_CLASS[ord("!")] = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_FEED = np.zeros(256, bool)
+_FEED[10] = True
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line, every line's length in bytes, and where each text's lines begin (one more than texts).
+def lines_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where each line begins and ends, and where each text's lines begin (one more than texts).
 
     A text has a line more than it has line feeds; null counts as empty."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    doc = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))
-    length = ends - starts
-    counts = np.empty((len(starts), 6))
-    for k in range(6):
-        total = np.concatenate(([0], np.cumsum(_CLASS[data, k])))
-        counts[:, k] = total[ends] - total[starts]
-    space = _SPACE[data]
-    before = np.concatenate(([True], space[:-1]))
-    w0 = np.flatnonzero(~space & before)
-    w1 = np.flatnonzero(space & ~before)
-    power, inverse = powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    word = mixed((sums[w1] - sums[w0]) * inverse[w0])
-    line = mixed((sums[ends] - sums[starts]) * inverse[starts])
-    of = np.searchsorted(starts, w0, side="right") - 1
-    n = np.bincount(of, minlength=len(starts))
-    again, again2 = np.zeros(len(word), bool), np.zeros(len(word), bool)
-    again[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
-    again2[2:] = (word[2:] == word[:-2]) & (of[2:] == of[:-2])
-    long = np.bincount(of, (w1 - w0) > 12, len(starts))
-    same = np.zeros(len(starts), bool)
-    same[1:] = (line[1:] == line[:-1]) & (length[1:] > 0)
-    some, letters = np.maximum(n, 1), np.maximum(counts[:, 1] + counts[:, 2], 1)
-    out = np.column_stack([
-        np.minimum(counts[:, 0] / some, 3), counts[:, 1] / letters, counts[:, 3] / np.maximum(length, 1), counts[:, 4] / some, np.minimum(counts[:, 5] / some, 2),
-        np.bincount(of, again, len(starts)) / some, np.bincount(of, again2, len(starts)) / some, long / some, same, np.log1p(n) / 5, n == 0, np.ones(len(starts)),
-    ])
-    return out, length, doc
+    return data, starts, ends, np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))
+
+
+def own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """The features of the lines by themselves, in blocks of LINES lines."""
+    last = 0
+    for a in range(0, len(starts), LINES):
+        begin, end = starts[a : a + LINES], ends[a : a + LINES]
+        base, m = begin[0], len(begin)
+        part = data[base : end[-1] + 1]
+        begin, end = begin - base, end - base
+        length = end - begin
+        counts = np.zeros((m, 7), np.int64)
+        for at in range(0, len(part), 1 << 18):
+            some = part[at : at + (1 << 18)]
+            first = np.searchsorted(begin, at, side="right") - 1
+            of = np.cumsum(some == 10) - (some == 10)
+            here = np.bincount(of * 7 + _CLASS[some]).astype(np.int64)
+            here = np.append(here, np.zeros(-len(here) % 7, np.int64)).reshape(-1, 7)
+            counts[first : first + len(here)] += here
+        w0, w1, word = runs(part, _SPACE)
+        l0, _, value = runs(part, _FEED)
+        line = np.zeros(m, np.uint64)  # an empty line has no hash
+        line[np.searchsorted(begin, l0)] = value
+        of = np.searchsorted(begin, w0, side="right") - 1
+        n = np.bincount(of, minlength=m)
+        again, again2 = np.zeros(len(word), bool), np.zeros(len(word), bool)
+        again[1:] = (word[1:] == word[:-1]) & (of[1:] == of[:-1])
+        again2[2:] = (word[2:] == word[:-2]) & (of[2:] == of[:-2])
+        long = np.bincount(of, (w1 - w0) > 12, m)
+        same = (line == np.concatenate((np.array([last], np.uint64), line[:-1]))) & (length > 0)
+        last = line[-1]
+        some, letters = np.maximum(n, 1), np.maximum(counts[:, 1] + counts[:, 2], 1)
+        yield np.column_stack([
+            np.minimum(counts[:, 0] / some, 3), counts[:, 1] / letters, counts[:, 3] / np.maximum(length, 1), counts[:, 4] / some, np.minimum(counts[:, 5] / some, 2),
+            np.bincount(of, again, m) / some, np.bincount(of, again2, m) / some, long / some, same, np.log1p(n) / 5, n == 0, np.ones(m),
+        ])
+
+
+def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line, every line's length in bytes, and where each text's lines begin (one more than texts)."""
+    data, starts, ends, doc = lines_of(texts)
+    return np.concatenate(list(own_features(data, starts, ends))), ends - starts, doc
+
+
+def beside(emit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The weights of each line's labels: what its own features, the line before and the line after give (lines x 3 x 2; nothing from beyond a text)."""
+    out = emit[:, 0].copy()
+    before, after = np.zeros_like(out), np.zeros_like(out)
+    before[1:], after[:-1] = emit[:-1, 1], emit[1:, 2]
+    before[doc[:-1]] = 0
+    after[doc[1:] - 1] = 0
+    return out + before + after
 
 
 def with_neighbours(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -134,7 +165,7 @@ def fit(texts: list[str], quality: list[int], prior: dict[int, int], rounds: int
             s[1] = 0.99 * s[1] + 0.01 * g * g
             w += 0.1 * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-8)
     model = {"mean": mean, "spread": spread, "weight": weight, "move": move, "a": 1.0, "b": 0.0}
-    share = logit(good_share(model, own, length, doc))
+    share = logit(good_share(model, [own], length, doc))
     each = np.where(y == 1, prior[1] / (y == 1).sum(), prior[0] / (y == 0).sum())
     each /= each.sum()
     a, b = 1.0, 0.0
@@ -152,48 +183,58 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def good_share(model: dict, own: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    x = with_neighbours((own - model["mean"]) / model["spread"], doc)
-    node, _, _ = marginals(x @ model["weight"], model["move"], doc)
-    weight = np.maximum(length, 1).astype(float)
-    return np.add.reduceat(node[:, 1] * weight, doc[:-1]) / np.add.reduceat(weight, doc[:-1])
+def good_share(model: dict, own: Iterable[np.ndarray], length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The share of each text's bytes that lies in good lines; own: the lines' features in blocks."""
+    weight = model["weight"].reshape(3, N_OWN, 2).transpose(1, 0, 2).reshape(N_OWN, 6)
+    emit = np.concatenate([((x - model["mean"]) / model["spread"]) @ weight for x in own]).reshape(-1, 3, 2)
+    node, _, _ = marginals(beside(emit, doc), model["move"], doc)
+    size = np.maximum(length, 1).astype(float)
+    return np.add.reduceat(node[:, 1] * size, doc[:-1]) / np.add.reduceat(size, doc[:-1])
 
 
 def scores(model: dict | None, texts: list[str | None]) -> np.ndarray:
     if model is None:
         return np.full(len(texts), 0.5)
-    share = good_share(model, *line_features(texts))
+    data, starts, ends, doc = lines_of(texts)
+    share = good_share(model, own_features(data, starts, ends), ends - starts, doc)
     return 1 / (1 + np.exp(-(model["a"] * logit(share) + model["b"])))
 
 
-def learn(docs: DataFrame, labelled: DataFrame, per_class: int = 1000, characters: int = 20_000) -> dict | None:
-    """A model from at most per_class texts of each quality (their first `characters` characters) among docs' rows that `labelled` (doc_id, quality) names and that are not held out.
+def learn(docs: DataFrame, labelled: DataFrame, per_class: int = 1000, passages: int = 8, characters: int = 4096) -> dict | None:
+    """A model from at most per_class texts of each quality among docs' rows that `labelled` (doc_id, quality) names and that are not held out.
 
-    Null ids and qualities other than 0 and 1 are left out. The sample is chosen on ids and labels alone, so its join to the texts broadcasts 2 * per_class rows at most."""
+    A sampled text of up to `passages` passages of `characters` characters is learned from whole, a longer one from so
+    many passages that lie anywhere in it, chosen by hash. Null ids and qualities other than 0 and 1 are left out; of
+    the texts of a repeated id one counts, chosen by hash. The sample is chosen on ids and labels alone, so its join to
+    the texts broadcasts 2 * per_class rows at most, and as many come to the driver."""
     usable = labelled.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality"))
     prior = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     chosen = sampled(usable, "quality", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(F.coalesce("text", F.lit("")), 1, characters).alias("text"))
-    found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
-    return fit([r["text"] for r in found], [r["quality"] for r in found], prior)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    parts = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % characters), F.lit(0))
+    ordered = F.array_sort(F.transform(parts, lambda p, i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i"), p.alias("p"))))
+    some = F.when(F.length(text) <= passages * characters, F.array(text)).otherwise(F.transform(F.array_sort(F.transform(F.slice(ordered, 1, passages), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p")))), lambda x: x["p"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), some.alias("texts"))).alias("one"))
+    found = sorted((r["doc_id"], r["quality"], t) for r in rows.select("doc_id", "quality", "one.texts").collect() for t in r["texts"])
+    return fit([t for *_, t in found], [q for _, q, _ in found], prior)
 
 
-def score_quality(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs and score (0 to 1), one row for each row.
+def score_quality(docs: DataFrame, model: dict | None, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns `keep` of docs and score_col (0 to 1), one row for each row; one of `keep` that has its name is replaced.
 
     Empty and null texts have one empty line and so the score that the model gives that; without a model every score
-    is 0.5. Only `keep` and the text are read; one pass, no shuffle. An empty table gives an empty result."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    is 0.5. Repeated rows and ties are scored each for itself, alike. Only `keep` and the text are read; one pass, no
+    shuffle; memory is bounded by LINES lines, about 100 bytes a line of the longest text, and a slice. An empty table gives an empty result."""
+    keep = [c for c in keep if c != score_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.num_columns - 1
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                yield pa.record_batch([*part.columns[:at], pa.array(scores(model, part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names[:at], "score"])
+            for part in slices(batch, 1, 1 << 19):
+                yield pa.record_batch([part.column(0), pa.array(scores(model, part.column(1).to_pylist()), pa.float64())], names=["row", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(each, f"{kinds}, score double")
+    scored = mapped(rows, each, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.select("row.*", F.col("score").alias(score_col))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, mapped, slices
 
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -200,13 +200,13 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(k, 500).to_pylist()]
+            for part in slices(batch, 1):
+                data = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 files = [muxed(d.ljust(max(64, -(-len(d) // 64) * 64), b"\0")) for d in data]
-                yield pa.record_batch([batch.column(0).slice(k, 500), pa.array([len(d) for d in data], pa.int64()), pa.array(files, pa.binary())], names=["id", "n_bytes", "media"])
+                yield pa.record_batch([part.column(0), pa.array([len(d) for d in data], pa.int64()), pa.array(files, pa.binary())], names=["id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return mapped(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -241,7 +241,7 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, nth long, time_ms double, track long, codec string, cluster long, start long, length long, is_cue boolean, error string").withColumnRenamed("id", id_col)
+    return mapped(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, nth long, time_ms double, track long, codec string, cluster long, start long, length long, is_cue boolean, error string").withColumnRenamed("id", id_col)
 
 
 def media_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -264,7 +264,7 @@ def media_digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     rows = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return mapped(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
