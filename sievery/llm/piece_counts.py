@@ -2,8 +2,10 @@
 
 A text becomes runs that no piece of the vocabulary crosses (a run starts at each group of space marks). The
 unseen runs of a batch are held as one ragged numpy array of symbols; in each round every run applies its
-lowest-rank pair, all runs at once, until none has a pair; what counts is the symbols that survive. Counts of
-runs are kept for the life of the Python worker, so frequent runs are merged once.
+lowest-rank pair, all runs at once, until none has a pair; what counts is the symbols that survive. A run longer than
+the vocabulary's longest piece applies, in one round, each pair that has no pair of a lower rank within such a
+piece's length: no earlier merge can reach it, so the result is that of merging the lowest rank of the whole run
+first, and the rounds don't grow with the run. Counts of runs are kept, so frequent runs are merged once.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, mapped, resident, slices
 
 SPACE = "▁"
 NONE = np.int64(1) << 40
@@ -25,9 +27,9 @@ NONE = np.int64(1) << 40
 class PieceCounter:
     """Counts the pieces that a sentencepiece BPE model with byte fallback makes of texts.
 
-    Null and empty texts have no pieces. keep bounds the remembered runs."""
+    Null and empty texts have no pieces. keep bounds the bytes that remembered runs take, about; runs beyond 64 characters aren't remembered."""
 
-    def __init__(self, model_file: str, keep: int = 1_000_000):
+    def __init__(self, model_file: str, keep: int = 32 << 20):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -51,6 +53,7 @@ class PieceCounter:
         self.keys = np.array([x[0] for x in pairs] + [-1], np.int64)
         self.ranks = np.array([x[1] for x in pairs] + [NONE], np.int64)
         self.made = np.array([x[2] for x in pairs] + [0], np.int64)
+        self.reach = max(map(len, rank), default=1)
         # a pair may merge at all its places at once if no pair with the symbol that it makes comes before it
         first = np.full(len(symbols), NONE)
         np.minimum.at(first, self.keys[:-1] // self.size, self.ranks[:-1])
@@ -88,19 +91,29 @@ class PieceCounter:
         while len(symbol):
             rank = self.ranks[at]  # of -1: NONE
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbol))))
-            done = best == NONE
+            sizes = np.diff(np.append(starts, len(symbol)))
+            lowest = np.minimum.reduceat(rank, starts)
+            best, done = np.repeat(lowest, sizes), np.repeat(lowest == NONE, sizes)
+            if sizes.max() > 2 * self.reach:
+                near = np.repeat(sizes > 2 * self.reach, sizes)
+                best[near] = self.lowest_near(rank[near], part[near])
             if done.any():  # these runs are done and leave
                 total += np.bincount(run[done], self.cost[symbol[done]], len(total)).astype(np.int64)
                 go = ~done
                 symbol, part, run, at, rank, best = symbol[go], part[go], run[go], at[go], rank[go], best[go]
-            hit = np.flatnonzero(rank == best)
+            go = (rank == best) & (rank < NONE)
+            hit = np.flatnonzero(go)
             if not len(hit):
                 break
+            if sizes.max() > 2 * self.reach:  # equal pairs in a row merge from the first one on: they wait for it
+                row = np.cumsum(np.concatenate(([True], (rank[1:] != rank[:-1]) | (part[1:] != part[:-1]))))
+                waits = np.maximum.accumulate(np.where(go, 0, row)) == row
+                hit = hit[~waits[hit]]
             # of places that overlap, as in aaa, the first, third, ... merge; a pair with exceptions merges at its first place
             chain = np.concatenate(([True], np.diff(hit) > 1))
             odd = (np.arange(len(hit)) - np.maximum.accumulate(np.where(chain, np.arange(len(hit)), 0))) & 1
-            leads = np.concatenate(([True], part[hit[1:]] != part[hit[:-1]]))
+            # first in its part, or of a rank that no pair before it within reach has
+            leads = np.concatenate(([True], (part[hit[1:]] != part[hit[:-1]]) | (hit[1:] - hit[:-1] > self.reach)))
             hit = hit[leads | (self.all_at_once[at[hit]] & (odd == 0))]
             symbol[hit] = self.made[at[hit]]
             stay = np.ones(len(symbol), bool)
@@ -113,6 +126,18 @@ class PieceCounter:
                 at[left] = np.where(last | (part[left] != part[right]), -1, self.pair_places(symbol[left], symbol[right]))
         return total
 
+    def lowest_near(self, rank: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The lowest rank within `reach` places on either side, in the same part: by doubling windows."""
+        padded = np.full(len(rank) + (self.reach + 1) * (len(np.unique(part)) + 1), NONE)
+        place = np.arange(len(rank)) + (self.reach + 1) * np.cumsum(np.concatenate(([1], part[1:] != part[:-1])))
+        padded[place] = rank
+        window, width = padded, 1
+        while 2 * width <= 2 * self.reach + 1:
+            window = np.minimum(window, np.append(window[width:], np.full(width, NONE)))
+            width *= 2
+        left = place - self.reach
+        return np.minimum(window[left], window[place + self.reach + 1 - width])
+
     def pair_places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place in the table of pairs of each two symbols, or -1."""
         key = left * self.size + right
@@ -134,16 +159,17 @@ class PieceCounter:
             # without double spaces each run is one space mark and a word, known by its word alone
             split.append(re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + marked) if SPACE + SPACE in marked or marked[0] == SPACE else marked.split(SPACE))
         memo = self.memo
-        if len(memo) > self.keep:
+        if 200 * len(memo) > self.keep:  # a run of at most 64 characters, its count and their places in the table
             memo.clear()
         unseen = list(set().union(*split).difference(memo))
         for i in range(0, len(unseen), 50_000):
             some = unseen[i : i + 50_000]
             memo.update(zip(some, self.merged([w if w[:1] == SPACE else SPACE + w for w in some]).tolist(), strict=True))
-        return [sum(map(memo.__getitem__, runs)) for runs in split]
-
-
-_counters: dict[str, PieceCounter] = {}
+        counted = [sum(map(memo.__getitem__, runs)) for runs in split]
+        for run in unseen:
+            if len(run) > 64:
+                del memo[run]
+        return counted
 
 
 def count_pieces(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,17 +179,16 @@ def count_pieces(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     the two named are not read. An empty table gives an empty result. One pass over the texts, no shuffle."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file not in _counters:
-            _counters[model_file] = PieceCounter(model_file)
+        counter = resident(("pieces", model_file), lambda: PieceCounter(model_file))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                ids, texts = batch.column(0).slice(k, 1000), batch.column(1).slice(k, 1000).to_pylist()
-                counts = _counters[model_file].counts(texts)
-                yield pa.record_batch([ids, pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            for part in slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                counts = counter.counts(texts)
+                yield pa.record_batch([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(each, f"id {kind}, n_bytes long, n_tokens long")
+    out = mapped(rows, each, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
