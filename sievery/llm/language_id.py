@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed into phrases, each the longest match
 that the automaton has from where the last one ended; the language that needs the fewest phrases a symbol, scaled by
-the logarithm of how much text it learned from, wins. The texts of a batch are parsed in lockstep: one numpy step
-moves every block of every text, in every language, by a symbol.
+the logarithm of how much text it learned from, wins. The texts of a slice are parsed in lockstep, long ones in
+blocks: one numpy step moves every block, in every language, by a symbol. A block is parsed as if a phrase began with
+it, and then again from the state that the block before it ends in, until both parses begin a phrase at the same place,
+so that the count is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, sampled
+from .common import documents, held_out, mapped, resident, sampled, slices
 
-#: Blocks of so many symbols are parsed on their own; a phrase ends with its block.
+#: Symbols of a text that are parsed together.
 BLOCK = 1024
-BREAK, GAP = 0, 1
+#: Symbols: a break between texts, a gap, the most frequent letters, first symbols of letters of two and of three symbols, and a letter that no language has learned.
+BREAK, GAP, FREQUENT, TWO, THREE, UNKNOWN, WIDTH = 0, 1, 2, 42, 62, 63, 64
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of a sequence: next state by state and symbol, -1 for none; state 0 is the start."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: next state by state and symbol; state 0 is the start."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -52,81 +55,120 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    table = np.full((len(nexts), width), -1, np.int32)
-    for state, moves in enumerate(nexts):
-        for s, to in moves.items():
-            table[state, s] = to
-    return table
+    return nexts
+
+
+def coded(rank: int | None) -> tuple[int, int, int]:
+    """The symbols (-1: none) of the letter of a rank by frequency, so that no learned letter is merged with another up to rank 5,123; letters beyond share symbols."""
+    if rank is None:
+        return UNKNOWN, -1, -1
+    rare, rarer = rank - (TWO - FREQUENT), rank - (TWO - FREQUENT) - (THREE - TWO) * 62
+    if rare < 0:
+        return FREQUENT + rank, -1, -1
+    if rarer < 0:
+        return TWO + rare // 62, FREQUENT + rare % 62, -1
+    return THREE, FREQUENT + rarer // 62 % 62, FREQUENT + rarer % 62
 
 
 class CrossParser:
-    """Parses texts against every language of a model (letters: the known lower-case letters; texts: language -> learned texts)."""
-
-    def __init__(self, model: dict):
-        self.languages = sorted(model["texts"])
-        letters = model["letters"]
-        self.code = np.full(0x110000, GAP, np.uint8)
-        self.letter = np.zeros(0x110000, bool)
-        known = {c: i + 2 for i, c in enumerate(letters)}
-        other = len(letters) + 2  # letters that no language has learned
-        for point in range(0x110000):
-            if (c := chr(point)).isalpha():
-                self.letter[point] = True
-                self.code[point] = known.get(c.lower()[:1], other)
-        self.width = other + 1
-        tables, starts, at, learned = [], [], 0, []
+    """Parses texts against every language of a model (language -> learned texts)."""
+
+    def __init__(self, model: dict[str, list[str]]):
+        self.languages = sorted(model)
+        seen = Counter(c.lower()[:1] for texts in model.values() for t in texts for c in t if c.isalpha())
+        rank = {c: r for r, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c)))}
+        self.letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+        self.code = np.full((0x110000, 3), -1, np.int8)
+        self.code[:, 0] = GAP
+        for p in np.flatnonzero(self.letter).tolist():
+            self.code[p] = coded(rank.get(chr(p).lower()[:1]))
+        starts, at, learned, tables = [], 0, [], []
         for language in self.languages:
             symbols: list[int] = []
-            for text in model["texts"][language]:
+            for text in model[language]:
                 symbols += [*self.symbols(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).tolist(), BREAK]
-            table = automaton(symbols, self.width)
+            states = automaton(symbols)
+            table = np.full(len(states) * WIDTH, -1, np.int32)
+            table[[state * WIDTH + s for state, moves in enumerate(states) for s in moves]] = [to + at for moves in states for to in moves.values()]
+            tables.append(table)
             starts.append(at)
-            tables.append(np.where(table < 0, -1, table + at).astype(np.int32))
-            at += len(table)
+            at += len(states)
             learned.append(len(symbols))
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.starts = np.array(starts, np.int32)
+        tables.append(np.full(WIDTH, -1, np.int32))
+        self.table = np.concatenate(tables)
+        self.starts = np.array(starts, np.int64)
+        self.none = at  # a state without moves: the next symbol begins a phrase
         self.scale = np.log2(np.maximum(learned, 4)) if learned else np.zeros(0)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        """Codes of the letters; runs of anything else become one gap."""
+        """Symbols of the letters; runs of anything else become one gap."""
         code = self.code[points]
+        code = code[:, 0] if len(code) and code[:, 1].max() < 0 else code[code >= 0]
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != GAP) | (code[:-1] != GAP)
         return code[keep]
 
+    def step(self, state: np.ndarray, symbol: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a symbol, and where it begins a phrase. A symbol that a language lacks is a phrase of its own."""
+        to = self.table[state * WIDTH + symbol]
+        lost = to < 0
+        again = self.table[start[lost] * WIDTH + symbol[lost]]
+        to[lost] = np.where(again < 0, self.none, again)
+        return to, lost
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text needs in each language."""
-        out = np.zeros((len(texts), len(self.languages)))
-        blocks = [(i, t[k : k + BLOCK]) for i, t in enumerate(texts) for k in range(0, len(t), BLOCK)]
-        if not blocks or not self.languages:
+        n = len(self.languages)
+        out = np.zeros((len(texts), n), np.int64)
+        blocks = [(i, k, t[k : k + BLOCK]) for i, t in enumerate(texts) for k in range(0, len(t), BLOCK)]
+        if not blocks or not n:
             return out
-        blocks.sort(key=lambda b: -len(b[1]))
-        lengths = np.array([len(b) for _, b in blocks])
+        blocks.sort(key=lambda b: -len(b[2]))
+        lengths = np.array([len(b) for *_, b in blocks])
         grid = np.zeros((int(lengths[0]), len(blocks)), np.int32)
-        for j, (_, b) in enumerate(blocks):
+        for j, (_, _, b) in enumerate(blocks):
             grid[: len(b), j] = b
-        first = np.repeat(self.starts[:, None], len(blocks), axis=1)  # languages x blocks
-        state, count = first.copy(), np.zeros(first.shape, np.int32)
-        active = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")
+        # a unit is a block in a language
+        start, of = np.tile(self.starts, len(blocks)), np.repeat(np.arange(len(blocks)), n)
+        state, count = np.full(len(start), self.none, np.int32), np.zeros(len(start), np.int64)
+        active = n * np.searchsorted(-lengths, -np.arange(len(grid)), side="left")
+        begun = np.zeros((len(grid), len(start)), bool)
         for t in range(len(grid)):
-            n = int(active[t])
-            symbol, here = grid[t, :n], state[:, :n]
-            to = self.table[here * self.width + symbol]
-            lost = to < 0
-            count[:, :n] += lost  # the phrase ends before this symbol, which starts the next one
-            again = self.table[first[:, :n][lost] * self.width + np.broadcast_to(symbol, lost.shape)[lost]]
-            to[lost] = np.where(again < 0, first[:, :n][lost], again)
-            state[:, :n] = to
-        count += 1
-        np.add.at(out, [i for i, _ in blocks], count.T)
+            a = int(active[t])
+            state[:a], begun[t, :a] = self.step(state[:a], grid[t, of[:a]], start[:a])
+            count[:a] += begun[t, :a]
+        # a block that goes on with a text: the parse from its true state differs until both begin a phrase at one place
+        place = {(i, k): j for j, (i, k, _) in enumerate(blocks)}
+        before = np.array([place.get((i, k - BLOCK), -1) for i, k, _ in blocks])
+        after = np.array([place.get((i, k + BLOCK), -1) for i, k, _ in blocks])
+        more = np.zeros(len(start), np.int64)  # phrases of the true parse less those of the first one
+        final = state.copy()
+        units = np.flatnonzero(before[of] >= 0)
+        while len(units):
+            alive, now = units, final[before[of[units]] * n + units % n]
+            more[units], last, t = 0, final.copy(), 0
+            final[units] = state[units]
+            while len(alive):
+                over = t >= lengths[of[alive]]
+                final[alive[over]] = now[over]  # the block is over before the parses meet
+                alive, now = alive[~over], now[~over]
+                if len(alive):
+                    now, lost = self.step(now, grid[t, of[alive]], start[alive])
+                    more[alive] += lost.astype(np.int64) - begun[t, alive]
+                    apart = ~(lost & begun[t, alive])
+                    alive, now = alive[apart], now[apart]
+                t += 1
+            moved = np.flatnonzero(final != last)
+            moved = moved[after[of[moved]] >= 0]
+            units = after[of[moved]] * n + moved % n  # what follows a block that ends in another state now
+        np.add.at(out, [i for i, *_ in blocks], (count + more).reshape(-1, n))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         points = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         some = [bool(self.letter[p].any()) for p in points]
-        coded = [self.symbols(p) if s else p[:0].astype(np.uint8) for p, s in zip(points, some, strict=True)]
-        rates = self.phrases(coded) * self.scale / np.maximum([len(c) for c in coded], 1)[:, None]
+        parts = [self.symbols(p) if s else p[:0].astype(np.int8) for p, s in zip(points, some, strict=True)]
+        rates = self.phrases(parts) * self.scale / np.maximum([len(c) for c in parts], 1)[:, None]
         labels, scores = [], []
         for has, rate in zip(some, rates, strict=True):
             if not has or not self.languages:
@@ -140,22 +182,26 @@ class CrossParser:
         return labels, scores
 
 
-_parsers: dict[str, CrossParser] = {}
-
+def learn(rows: DataFrame, per_language: int = 128, passages: int = 4, characters: int = 512, symbols: int = 160_000) -> dict[str, list[str]]:
+    """A model from (id, text, lang) rows: of at most per_language texts of each language, chosen by hash, up to `passages` passages of `characters` characters that lie anywhere in the text, `symbols` characters of all languages in equal shares.
 
-def learn(rows: DataFrame, per_language: int = 64, symbols: int = 32_000, letters: int = 60) -> dict:
-    """A model from at most per_language of the (id, text, lang) rows of each language, `symbols` characters of it in all, and its `letters` most frequent letters."""
-    usable = rows.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").withColumn("text", F.substring("text", 1, 4 * symbols // per_language))
-    texts: dict[str, list[str]] = {}
-    for row in sorted(sampled(usable, "lang", per_language, "id").collect()):
-        mine = texts.setdefault(row["lang"], [])
-        if sum(map(len, mine)) < symbols:
-            mine.append(row["text"][: symbols - sum(map(len, mine))])
-    seen = Counter(c.lower()[:1] for mine in texts.values() for t in mine for c in t if c.isalpha())
-    return {"letters": "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters])), "texts": texts}
+    Every text's first choice counts before the second ones. Every letter in them counts. Rows with a
+    null id, text or lang are left out; repeated rows count once. What comes to the driver is bounded for each language."""
+    usable = rows.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").withColumn("row", F.xxhash64("id", "text"))
+    chosen = sampled(usable.select("row", "lang"), "lang", per_language, "row")
+    parts = F.transform(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % characters), F.lit(0)), lambda p, i: F.struct(F.xxhash64("row", i).alias("h"), p.alias("p")))
+    texts = usable.join(F.broadcast(chosen), ["lang", "row"]).select("lang", "row", F.slice(F.array_sort(parts), 1, passages).alias("parts"))
+    found = texts.groupBy("lang", "row").agg(F.min("parts").alias("parts")).select("lang", F.posexplode("parts").alias("nth", "part")).select("lang", "nth", "part.h", "part.p").collect()
+    model: dict[str, list[str]] = {}
+    share = symbols // max(len({r["lang"] for r in found}), 1)
+    for lang, _, _, passage in sorted(map(tuple, found)):
+        mine = model.setdefault(lang, [])
+        if sum(map(len, mine)) + len(passage) <= share:
+            mine.append(passage)
+    return model
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score for each row of docs: `und` and 0 for a text that is null or has no letter, otherwise a learned language and how far ahead of the next it is (0 to 1).
 
     Equal rates go to the first language by code point. Only the two columns are read; whole texts are parsed in one
@@ -164,16 +210,14 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     name = hashlib.md5(packed.encode()).hexdigest()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _parsers:
-            _parsers.clear()
-            _parsers[name] = CrossParser(json.loads(packed))
+        parser = resident(("languages", name), lambda: CrossParser(json.loads(packed)))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                labels, scores = _parsers[name].predict(batch.column(1).slice(k, 1000).to_pylist())
-                yield pa.record_batch([batch.column(0).slice(k, 1000), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            for part in slices(batch, 1):
+                labels, scores = parser.predict(part.column(1).to_pylist())
+                yield pa.record_batch([part.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return mapped(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
