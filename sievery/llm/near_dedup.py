@@ -7,8 +7,10 @@ their Jaccard similarity, from finer registers, drops those far from the thresho
 
 All candidates of a large group are never emitted. In a few rounds each class is compared with one hub of its
 buckets, which joins most of a group of near copies in a linear number of comparisons; after that, only pairs from
-different components of a bucket are estimated, in blocks of registers inside the tasks, and those near the threshold
-are emitted, the most similar first, so that components grow together before the less similar pairs come up.
+different components of a bucket are estimated, inside the tasks, and those near the threshold are emitted, the most
+similar first, so that components grow together before the less similar pairs come up. The classes of a crowded
+bucket, as of texts that share a long passage, meet in finer buckets instead: of all classes in crowded buckets, two
+that are similar enough must share one of the rarest quarter of their shingles.
 """
 
 from __future__ import annotations
@@ -21,47 +23,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, mapped, slices, written
+from .hashing import ODD, mixed, runs
 
 BUCKETS, MANTISSA, BAND = 128, 10, 4
+#: Classes that meet in one task; a bucket of more is crowded.
+CROWD = 400
 #: Marks for the estimate: a byte for each of so many finer buckets.
 MARKS = 512
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(ODD)
 _TAKES = np.array([0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3], np.uint64) | np.uint64(1)
 #: For an empty bucket, the order in which other buckets lend it their register.
 _LENDERS = np.random.default_rng(7).permuted(np.tile(np.arange(BUCKETS), (BUCKETS, 1)), axis=1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def powers(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_ODD, np.uint64(pow(int(_ODD), -1, 1 << 64)))):
-            _powers[k] = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 20) - 1, base, np.uint64))), dtype=np.uint64)
-    return _powers
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of `width` lower-cased words; of fewer words, the whole sequence's."""
     parts = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
-    power, inverse = powers(len(data) + 1)
-    gap = _GAP[data]
-    starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-    ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    word = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    starts, _, word = runs(np.frombuffer(b" ".join(parts), np.uint8), _GAP)
     n = len(word) - width + 1
     whole = mixed(sum((word[k : k + n] * _TAKES[k] for k in range(width)), np.zeros(max(n, 0), np.uint64))) if n > 0 else word[:0]
-    bounds = np.searchsorted(starts, np.cumsum([1] + [len(p) + 1 for p in parts]))
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(p) + 1 for p in parts]))
     sets = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= width:
@@ -122,8 +107,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 300):
-                part = batch.slice(k, 300)
+            for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1).to_pylist())
                 yield pa.record_batch(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), part.column(2), pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([marks(s).tobytes() if len(s) else None for s in sets], pa.binary())],
@@ -131,7 +115,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hash binary, text_hash long, registers binary, marks binary")
+    return mapped(rows, each, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles long, set_hash binary, text_hash long, registers binary, marks binary")
 
 
 def small_enough(table: DataFrame, row_bytes: int, most: int = 48 << 20) -> DataFrame:
@@ -144,15 +128,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 300):
-                part = batch.slice(k, 300)
+            for part in slices(batch, 1):
                 data = [s.tobytes() for s in shingle_sets(part.column(1).to_pylist())]
                 right = [hashlib.blake2b(d, digest_size=16).digest() == h for d, h in zip(data, part.column(2).to_pylist(), strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(data, pa.binary())], names=["node", "members"]).filter(pa.array(right, pa.bool_()))
 
     texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = texts.join(small_enough(nodes, 64), "text_hash").select("node", "text", "set_hash")
-    return found.mapInArrow(each, "node long, members binary").dropDuplicates(["node"])
+    return mapped(found, each, "node long, members binary").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +152,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     of_a = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     of_b = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return mapped(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y"), each, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,18 +170,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("node", "comp")
 
 
-def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 1000) -> DataFrame:
-    """Pairs (a, b) of rows (key, band, node, comp, n, marks, registers) with one key and different comp that may be similar and whose place is in [first, end).
+def across(rows: DataFrame, percent: int, first: int, end: int, block: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of rows (key, band, bands, node, comp, n, marks, registers) with one key and different comp that may be similar and whose place is in [first, end).
 
     A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own. A pair's
     place is its rank by similarity among all pairs of the one or the other there, whichever is less: it doesn't
     depend on comp or on the order in which rows arrive, so ranges of places that cover everything find every pair, the most promising ones first. A pair
-    that shares several keys comes from the first band in which its registers are equal alone."""
+    that shares several keys comes from the first band alone, among the bits of `bands`, in which its registers are equal."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine", "band", "registers")
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("key", "lo", "hi", "node", "comp", "n", "marks", "mine", "band", "bands", "registers")
 
     def met(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group).combine_chunks()
@@ -216,8 +199,10 @@ def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 100
             worth = np.where(may, equal, -1)
             place = np.minimum(np.argsort(np.argsort(-worth, axis=1, kind="stable"), axis=1), np.argsort(np.argsort(-worth, axis=0, kind="stable"), axis=0))
             i, j = np.nonzero(may & (place >= first) & (place < end) & (comp[left][:, None] != comp[right][None, :]))
-            bands = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint64).reshape(len(node), -1)[:, : t.column("band")[0].as_py()]
-            once = np.concatenate([np.zeros(0, bool), *[~(bands[left[i[k : k + 10_000]]] == bands[right[j[k : k + 10_000]]]).any(axis=1) for k in range(0, len(i), 10_000)]])
+            lower = t.column("band")[0].as_py()
+            bands = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint64).reshape(len(node), -1)[:, :lower]
+            counts = (t.column("bands").to_numpy()[:, None] >> np.arange(lower) & 1).astype(bool)
+            once = np.concatenate([np.zeros(0, bool), *[~((bands[left[i[k : k + 10_000]]] == bands[right[j[k : k + 10_000]]]) & counts[left[i[k : k + 10_000]]]).any(axis=1) for k in range(0, len(i), 10_000)]])
             a, b = node[left[i[once]]], node[right[j[once]]]
             found = pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         return found
@@ -236,7 +221,30 @@ def across(rows: DataFrame, percent: int, first: int, end: int, block: int = 100
         if held:
             yield met(held)
 
-    return spread.mapInArrow(each, "a long, b long").distinct()
+    return mapped(spread, each, "a long, b long").distinct()
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, key): the finer buckets of (node, members), one for each of a set's rarest shingles that another set has as well.
+
+    With all shingles in one order, by how many of the sets have them, two sets of n and m members that are similar
+    to `percent` % share one of the first n - ceil(n * percent / 100) + 1 of the one and as many of the other: no pair is
+    lost. A passage's shingles come last in the order and so are no buckets, unless they are most of a set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, data in zip(batch.column(0), batch.column(1), strict=True):
+                key = np.frombuffer(data.as_buffer(), np.int64)
+                for k in range(0, len(key), 100_000):
+                    some = key[k : k + 100_000]
+                    yield pa.record_batch([pa.array(np.full(len(some), node.as_py())), pa.array(some), pa.array(np.full(len(some), len(key)))], names=["node", "key", "n"])
+
+    rows = written(mapped(sets.select("node", "members"), each, "node long, key long, n long"), "shingles")
+    common = rows.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1")
+    held = rows.join(common, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "key"))).alias("keys"))
+    # those that no other set has come first in the order: they take up places, but are no buckets
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("keys"))
+    return held.select("node", F.explode(F.slice("keys", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("k")).select("node", "k.key")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,30 +290,60 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
     def pair_up(pairs: DataFrame) -> DataFrame:
         of_a = marks_of.select(F.col("node").alias("a"), F.col("marks").alias("x"), F.col("n").alias("n_a"))
         of_b = marks_of.select(F.col("node").alias("b"), F.col("marks").alias("y"), F.col("n").alias("n_b"))
-        return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(estimated, "a long, b long")
+        both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y", "n_a", "n_b")
+        return mapped(both, estimated, "a long, b long")
 
     def with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
         return rows.withColumn("comp", F.col("node")) if comps is None else rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    # rounds of stars: each class that shares a bucket with another component is compared with one random hub of its buckets
-    edges, comps = None, None
-    for r in range(stars):
-        seen = with_comp(met, comps)
-        hubs = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("comp"))).alias("hub"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h")
-        chosen = seen.join(hubs, "key").where("comp != hub.comp").groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "hub.node", F.lit(r)), F.col("hub.node").alias("node"))).alias("hub"))
-        pairs = written(pair_up(chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), "stars")
-        found = confirmed(pairs, sets, percent)
-        edges = written(found if edges is None else edges.unionByName(found), "edges")
-        comps = components(edges)
-    # what shares a bucket but not a component yet, the most similar first
-    for first, end in ((0, 2), (2, 1 << 62)):
-        seen = with_comp(met, comps)
-        mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
-        others = written(across(seen.join(mixed_keys, "key").join(sketch_of, "node"), percent, first, end), "others")
-        if not others.isEmpty():
-            edges = written(edges.unionByName(confirmed(others, sets, percent)), "edges")
-            comps = components(edges)
-    linked = classes.select("node", "set_hash", "rep", "rows").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = None
+
+    def stars_over(met: DataFrame, rounds: range) -> None:
+        """Each class that shares a bucket with another component is compared with one random hub of its buckets."""
+        for r in rounds:
+            seen = with_comp(met, comps)
+            hubs = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("comp"))).alias("hub"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h")
+            chosen = seen.join(hubs, "key").where("comp != hub.comp").groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "hub.node", F.lit(r)), F.col("hub.node").alias("node"))).alias("hub"))
+            pairs = written(pair_up(chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), "stars")
+            grow(confirmed(pairs, sets, percent))
+
+    def grow(found: DataFrame) -> None:
+        """Adds links to the components: those of the components that the links join, and of nodes that had none."""
+        nonlocal comps
+        found = written(found, "edges")
+        if found.isEmpty():
+            return
+        if comps is None:
+            comps = components(found)
+            return
+        ends = with_comp(found.select("b", F.col("a").alias("node")), comps).select(F.col("comp").alias("a"), F.col("b").alias("node"))
+        joined = components(written(with_comp(ends, comps).select("a", F.col("comp").alias("b")).where("a != b").distinct(), "joins"))
+        alone = found.select(F.explode(F.array("a", "b")).alias("node")).withColumn("comp", F.col("node"))
+        known = comps.unionByName(alone).groupBy("node").agg(F.min("comp").alias("was"))
+        moved = small_enough(joined.select(F.col("node").alias("was"), F.col("comp").alias("now")), 32)
+        comps = written(known.join(moved, "was", "left").select("node", F.coalesce("now", "was").alias("comp")), "comps")
+
+    def pairs_over(met: DataFrame) -> None:
+        """What shares a bucket but not a component yet, the most similar first."""
+        for first, end in ((0, 2), (2, 1 << 62)):
+            seen = with_comp(met, comps)
+            mixed_keys = seen.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("key")
+            others = written(across(seen.join(mixed_keys, "key").join(sketch_of, "node"), percent, first, end), "others")
+            if not others.isEmpty():
+                grow(confirmed(others, sets, percent))
+
+    stars_over(met, range(stars))
+    left = with_comp(met, comps)
+    mixed_keys = written(left.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.count("*").alias("c")).where("l < h").select("key", (F.col("c") > CROWD).alias("crowded")), "mixed")
+    few = met.join(mixed_keys.where("NOT crowded").select("key"), "key")
+    used = few.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands"))
+    pairs_over(written(few.join(used, "node"), "few"))
+    if not mixed_keys.where("crowded").isEmpty():
+        crowd = written(met.join(mixed_keys.where("crowded").select("key"), "key").select("node").distinct(), "crowd")
+        finer = written(rarest(sets.join(crowd, "node"), percent), "finer")
+        stars_over(finer, range(stars, stars + 1))
+        pairs_over(finer.withColumns({"band": F.lit(0), "bands": F.lit(0).cast("long")}))
+    linked = with_comp(classes.select("node", "set_hash", "rep", "rows"), comps)
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
     of_set = linked.join(least, "comp").select("set_hash", "comp", "component_id")
     return sketch.select("id", "n_shingles", "text_hash", "set_hash").join(of_set, "set_hash", "left").drop("set_hash")
