@@ -48,11 +48,16 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 1,
     """docs with _size (words), _source_size, _target and _copies (how often the mix takes the row, 0 upwards).
 
     A null text has size 0, a null source is a source of its own, rows with null or repeated ids count each for
-    itself. No row is taken more than ceil(target / source size) times. The same seed gives the same mix. An empty
-    table gives an empty result. docs is read twice: for the counts and for the result."""
+    itself; rows of one id and size are ordered by their texts' hashes, if docs has the texts, so reruns agree. No row is
+    taken more than ceil(target / source size) times. The same seed gives the same mix. Columns of docs with the names
+    above are replaced. An empty table gives an empty result. docs is read twice: for the counts and for the result.
+    What a task holds of all sources is a row a source."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     bin_of = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 3)
-    rows = docs.withColumns({"_size": n_words(F.col(text_col)) if size is None else size, "_key": key, "_bin": bin_of})
+    made = ("_size", "_source_size", "_target", "_copies")
+    text_hash = F.xxhash64(text_col) if text_col in docs.columns else F.lit(0).cast("long")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in made], F.lit(0).alias("_none"))
+    rows = docs.select(kept.alias("row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_hash.alias("_hash"), (n_words(F.col(text_col)) if size is None else size).alias("_size"), key.alias("_key"), bin_of.alias("_bin"))
     bins = written(rows.groupBy("_key", "_size", "_bin").agg(F.count("*").alias("n")), "bins")
     groups = bins.groupBy("_key", "_size").agg(F.sum("n").alias("n"))
     sizes = groups.groupBy("_key").agg(F.sum(F.col("_size") * F.col("n")).alias("source_size"), F.sum("n").alias("rows"))
@@ -63,13 +68,13 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 1,
     first = groups.select("_key", "_size", F.coalesce(F.sum("n").over(longest), F.lit(0)).alias("_first"))
     within = bins.select("_key", "_size", "_bin", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("_more"))
     start = within.join(first, ["_key", "_size"]).join(aims, "_key").select("_key", "_size", "_bin", (F.col("_first") + F.col("_more")).alias("_start"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_key", "_size", "_bin").orderBy(id_col))
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy("_key", "_size", "_bin").orderBy("_id", "_hash"))
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    u = offset(F.col(source_col).cast("string"), seed)
+    u = offset(F.col("_source"), seed)
     crossed = F.floor(u + F.col("_each") * F.col("_rank")) - F.floor(u + F.col("_each") * (F.col("_rank") - 1))
     placed = rows.join(start, ["_key", "_size", "_bin"]).withColumns({"_rank": rank, "_each": each})
     copies = F.least(crossed, F.ceil("_each")).cast("long")
-    return placed.select(*[F.col(c) for c in docs.columns], "_size", "_source_size", "_target", copies.alias("_copies"))
+    return placed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in made], "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
