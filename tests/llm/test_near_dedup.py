@@ -79,11 +79,46 @@ def test_repeated_and_null_ids_lose_no_text(spark):
     assert (3, rows[0][1]) in got and (5, rows[2][1]) in got and (9, "") in got and (None, None) in got
 
 
+def test_crowded_buckets_match_brute_force(spark, monkeypatch):
+    """With buckets of a few classes counted as crowded, the finer ones find the same components."""
+    monkeypatch.setattr(nd, "CROWD", 8)
+    docs = variants()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(df, stars=1).collect()}
+    assert got == brute(docs)
+
+
+def test_texts_that_share_a_passage_do_not_all_meet(spark):
+    """20,000 texts with one passage and three near copies among them: finer buckets are few, as the passage is in none."""
+    r = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*passage, *[f"w{r.randrange(10**9)}" for _ in range(50)]]) for _ in range(20_000)]
+    for k in (1, 2):
+        texts[k] = texts[0].rsplit(" ", 2)[0] + f" end{k} of{k}"
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = nd.near_duplicates(df).where("NOT kept").collect()
+    assert sorted((x["doc_id"], x["component_id"]) for x in got) == [(1, 0), (2, 0)]
+    sets = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(nd.shingle_sets(texts))], "node long, members binary")
+    assert nd.rarest(sets, 75).count() < 200
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    docs = [t for _, t in variants() if t]
+    sets = nd.shingle_sets(docs)
+    found = {}
+    for x in nd.rarest(spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, members binary"), 75).collect():
+        found.setdefault(x["key"], set()).add(x["node"])
+    met = {(a, b) for nodes in found.values() for a in nodes for b in nodes if a < b}
+    close = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert close <= met and close
+
+
 def test_blocks_find_every_pair(spark):
     """Ranges of places cover all pairs of different components, whatever the block size."""
     sets = nd.shingle_sets([t for _, t in variants()[:60]])
-    rows = [(1, 0, i, i % 3, len(s), nd.marks(s).tobytes(), nd.registers(s).tobytes()) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "key long, band int, node long, comp long, n long, marks binary, registers binary")
+    rows = [(1, 0, 0, i, i % 3, len(s), nd.marks(s).tobytes(), nd.registers(s).tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "key long, band int, bands long, node long, comp long, n long, marks binary, registers binary")
     whole = {(r["a"], r["b"]) for r in nd.across(df, 75, 0, 1 << 62).collect()}
     parts = [{(r["a"], r["b"]) for r in nd.across(df, 75, a, b, block=13).collect()} for a, b in ((0, 2), (2, 1 << 62))]
     assert parts[0] | parts[1] == whole and whole
