@@ -54,23 +54,34 @@ def hamming_matches(left: DataFrame, right: DataFrame, most: int, bits: int = 64
     return a.join(b, "k").where(apart <= most).select("id_a", "id_b", apart.alias("distance")).distinct()
 
 
-def windows(words: DataFrame, n: int) -> DataFrame:
-    """words (doc_id, w) with each place (at, from 0) and the hash (key) of the n words from there."""
-    places = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-    return words.select("doc_id", "w", F.posexplode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("at", "key"))
-
-
 def containments(texts: DataFrame, phrases: DataFrame, width: int = 8) -> DataFrame:
     """texts (doc_id, text) and phrases (item_id, phrase): pairs in which the text's words hold the phrase's words in a row.
 
-    Documents and phrases join on the hash of the phrase's first `width` words (all of a shorter phrase's), then the words are compared."""
+    The hash of a phrase's first `width` words (all of a shorter phrase's) is looked for among the hashes of a text's
+    windows of as many words. Only (doc_id, hash) pairs of a text are exploded and joined; the texts of the hits alone
+    are fetched, once each, and their words compared. Texts with a null or repeated id are compared with the phrases met under that id."""
     gap = "[ \t\n\r]+"
     p = phrases.select("item_id", F.filter(F.split(F.trim("phrase"), gap), lambda w: w != "").alias("pw")).where(F.size("pw") > 0)
-    p = p.withColumn("n", F.least(F.size("pw"), F.lit(width))).withColumn("key", F.xxhash64(F.array_join(F.slice("pw", F.lit(1), F.col("n")), " ")))
+    p = p.withColumn("n", F.least(F.size("pw"), F.lit(width))).withColumn("key", F.xxhash64("n", F.array_join(F.slice("pw", F.lit(1), F.col("n")), " ")))
     sizes = sorted(r[0] for r in p.select("n").distinct().collect())  # at most `width` numbers
-    words = texts.select("doc_id", F.filter(F.split("text", gap), lambda w: w != "").alias("w"))
-    found = None
-    for n in sizes:
-        one = windows(words, n).join(p.where(F.col("n") == n), "key").where(F.slice("w", F.col("at") + 1, F.size("pw")) == F.col("pw")).select("doc_id", "item_id")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct() if found is not None else texts.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    words = F.filter(F.split("text", gap), lambda w: w != "")
+    if not sizes:
+        return texts.select("doc_id").crossJoin(phrases.select("item_id")).where("false")
+
+    def keys(w: Column) -> Column:
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i, F.lit(n)), " ")))
+        return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+    held = F.transform(F.array(words), keys)[0]
+    met = texts.select("doc_id", F.explode(held).alias("key")).join(p.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    hits = met.join(texts.select("doc_id", spaced(words).alias("t")), "doc_id").join(p.select("item_id", spaced(F.col("pw")).alias("q")), "item_id")
+    return hits.where(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
+
+
+def simhash(words: Column) -> Column:
+    """A 64-bit hash whose bits are the majority of the words' hashes: texts with nearly the same words differ in few bits; null without words."""
+    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
+    value = F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(F.when(b > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    return F.when(F.size(hashes) > 0, value)

@@ -22,6 +22,38 @@ def ranked(scored: DataFrame, k: int | None = None, places: int = 6) -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def flat_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors (of one length) of an Arrow batch, without a Python object for each number."""
+    vectors = batch.column(1)
+    return batch.column(0).to_numpy(), vectors.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
+def higher_counts(queries: DataFrame, gallery: DataFrame, block: int = 2048, places: int = 6) -> DataFrame:
+    """query_id, higher: how many rows of gallery (doc_id, vector) score above `own` for each of queries (query_id, vector, own).
+
+    Queries go to the tasks in blocks; a task sends one count for each query."""
+    bins, found = max(1, -(-queries.count() // block)), None
+    for b in range(bins):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(bins)) == b).select("query_id", "vector", "own").collect()
+        if not some:
+            continue
+        ids, matrix, own = [r[0] for r in some], np.array([r[1] for r in some], np.float64), np.array([r[2] for r in some])
+
+        def above(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, own=own) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(len(ids), np.int64)
+            for batch in batches:
+                _, part = flat_vectors(batch)
+                for a in range(0, len(part), 4096):
+                    counts += (np.round(matrix @ part[a : a + 4096].T, places) > own[:, None]).sum(axis=1)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts)], names=["query_id", "n"])
+
+        part = gallery.select("doc_id", "vector").mapInArrow(above, "query_id long, n long")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return gallery.sparkSession.createDataFrame([], "query_id long, higher long")
+    return found.groupBy("query_id").agg(F.sum("n").alias("higher"))
+
+
 def knn(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = True, block: int = 2048, places: int = 6) -> DataFrame:
     """The k nearest rows of gallery (doc_id, vector) for each of queries (query_id, vector) by dot product, exactly.
 
@@ -37,19 +69,25 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = True,
         ids, matrix = [r[0] for r in some], np.array([r[1] for r in some], np.float64)
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            docs, scores = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+            own = np.array(ids, np.int64)
+            docs, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
             for batch in batches:
-                doc = batch.column(0).to_numpy()
-                part = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(doc), -1)
-                product = np.round(matrix @ part.T, places)
-                for i in range(len(ids)):
-                    d, s = np.concatenate((docs[i], doc)), np.concatenate((scores[i], product[i]))
+                doc, part = flat_vectors(batch)
+                for a in range(0, len(doc), 4096):
+                    s = np.round(matrix @ part[a : a + 4096].T, places)
+                    d = np.broadcast_to(doc[a : a + 4096], s.shape)
                     if skip_self:
-                        s = np.where(d == ids[i], -np.inf, s)
-                    keep = np.lexsort((d, -s))[:k]
-                    keep = keep[np.isfinite(s[keep])]
-                    docs[i], scores[i] = d[keep], s[keep]
-            yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), [len(d) for d in docs])), pa.array(np.concatenate(docs)), pa.array(np.concatenate(scores))], names=["query_id", "doc_id", "score"])
+                        s = np.where(d == own[:, None], -np.inf, s)
+                    if s.shape[1] > 4 * k:  # all that are no worse than the k-th, so that ties go by id
+                        worst = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                        most = int((s >= worst[:, None]).sum(axis=1).max())
+                        at = np.argpartition(-s, min(most, s.shape[1] - 1), axis=1)[:, :most]
+                        s, d = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
+                    s, d = np.hstack((scores, s)), np.hstack((docs, d))
+                    at = np.lexsort((d, -s), axis=1)[:, :k]
+                    scores, docs = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
+            real = np.isfinite(scores)
+            yield pa.record_batch([pa.array(np.repeat(own, real.sum(axis=1))), pa.array(docs[real]), pa.array(scores[real])], names=["query_id", "doc_id", "score"])
 
         runs.append(gallery.select("doc_id", "vector").mapInArrow(best, "query_id long, doc_id long, score double"))
     if not runs:

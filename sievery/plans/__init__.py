@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import curated, relational, search
+from . import curated, evaluation, relational, search
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curated", "relational", "search"]
+__all__ = ["ORACLES", "QUERIES", "curated", "evaluation", "relational", "search"]

@@ -27,7 +27,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; documents in a file that Spark reads in fewer tasks than it has cores are dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

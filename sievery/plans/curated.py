@@ -9,8 +9,9 @@ from sievery.functions import text as tx
 from sievery.functions.vectors import composed, dot, unit
 from sievery.operators import curation, fusion, leakage, sampling, understanding
 from sievery.operators.places import binned, numbered
+from sievery.operators.retrieval import knn
 
-from .base import RUNS_SQL, query, query_vectors, run_full, run_prefix, table, vectors
+from .base import RUNS_SQL, labelled, query, query_vectors, run_full, run_prefix, table, vectors
 from .search import PAIRS_SQL, _pairs
 
 # ---- curated sets
@@ -105,11 +106,6 @@ def first_turns(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.count("*").alias("turns"), F.max(F.length("text")).cast("long").alias("longest"))
 
 
-@query("page_hosts", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1")
-def page_hosts(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"))
-
-
 # ---- vectors
 
 
@@ -120,21 +116,24 @@ def biencoder_rescore(spark, d):
     return fusion.rescored(run_full(spark, d), scores, 10).select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
-@query("moe_gated_score", f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(list_inner_product(qv, dv) + 0.25 * CASE WHEN query_id % 100 = 0 THEN list_inner_product(qv[1:16], dv[1:16]) ELSE 0 END + 0.15 * list_inner_product(qv[17:32], dv[17:32]), 6) AS score FROM pairs")
+@query("moe_gated_score", f"WITH {PAIRS_SQL} SELECT query_id, doc_id, round(list_inner_product(qv, dv) + 0.25 * CASE WHEN q.label < 5 THEN list_inner_product(qv[1:16], dv[1:16]) ELSE 0 END + 0.30 * CASE WHEN q.label % 2 = 0 THEN list_inner_product(qv[17:32], dv[17:32]) ELSE 0 END + 0.15 * list_inner_product(qv[33:48], dv[33:48]), 6) AS score FROM pairs JOIN e q ON q.vec_id = query_id")
 def moe_gated(spark, d):
-    gate = F.when(F.col("query_id") % 100 == 0, dot(F.slice("qv", 1, 16), F.slice("dv", 1, 16)))
-    s = dot(F.col("qv"), F.col("dv")) + 0.25 * F.coalesce(gate, F.lit(0.0)) + 0.15 * dot(F.slice("qv", 17, 16), F.slice("dv", 17, 16))
-    return _pairs(spark, d).select("query_id", "doc_id", F.round(s, 6).alias("score"))
+    """Candidates scored by the whole vector and by parts of it, two of them gated by what the query's label says."""
+    part = lambda a: dot(F.slice("qv", a, 16), F.slice("dv", a, 16))
+    label = vectors(spark, d).select(F.col("doc_id").alias("query_id"), F.col("label").alias("ql"))
+    s = dot(F.col("qv"), F.col("dv")) + 0.25 * F.when(F.col("ql") < 5, part(1)).otherwise(0.0) + 0.30 * F.when(F.col("ql") % 2 == 0, part(17)).otherwise(0.0) + 0.15 * part(33)
+    return _pairs(spark, d).join(label, "query_id").select("query_id", "doc_id", F.round(s, 6).alias("score"))
 
 
-@query("alpha_sweep", f"WITH {RUNS_SQL}, a AS (SELECT unnest([0.2, 0.5, 0.8]::DOUBLE[]) AS alpha), w AS (SELECT alpha, vec_id, list_transform(range(1, 33), lambda i: alpha * u[i] + (1 - alpha) * u[i + 32]) AS w FROM e, a) SELECT alpha, round(avg(w[1] / sqrt(list_inner_product(w, w))), 6) AS mean_first FROM w GROUP BY alpha")
+@query("alpha_sweep", f"WITH {RUNS_SQL}, a AS (SELECT unnest([0.2, 0.5, 0.8]::DOUBLE[]) AS alpha), w AS (SELECT alpha, vec_id, label, list_transform(range(1, 33), lambda i: alpha * u[i] + (1 - alpha) * u[i + 32]) AS w FROM e, a), c AS (SELECT alpha, vec_id, label, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS u FROM w), r AS (SELECT q.alpha, q.vec_id AS query_id, (q.label = x.label)::INT AS grade FROM c q JOIN c x ON q.alpha = x.alpha AND q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id QUALIFY row_number() OVER (PARTITION BY q.alpha, q.vec_id ORDER BY round(list_inner_product(q.u, x.u), 6) DESC, x.vec_id) <= 10) SELECT alpha, round(avg(p), 6) AS precision_10 FROM (SELECT alpha, query_id, sum(grade) / 10.0 AS p FROM r GROUP BY ALL) GROUP BY alpha")
 def alpha_sweep(spark, d):
-    g = vectors(spark, d)
-    out = None
+    """Searches over mixes of the two halves of a vector at each alpha, and their precision at 10."""
+    g, out = vectors(spark, d), None
     for a in (0.2, 0.5, 0.8):
-        one = g.select(F.lit(a).alias("alpha"), composed([(F.slice("vector", 1, 32), a), (F.slice("vector", 33, 32), 1 - a)])[0].alias("x")).groupBy("alpha").agg(F.round(F.avg("x"), 6).alias("mean_first"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        c = g.withColumn("vector", composed([(F.slice("vector", 1, 32), a), (F.slice("vector", 33, 32), 1 - a)]))
+        run = labelled(knn(query_vectors(c), c, 10), g).groupBy("query_id").agg((F.sum("grade") / 10.0).alias("p")).select(F.lit(a).alias("alpha"), "p")
+        out = run if out is None else out.unionByName(run)
+    return out.groupBy("alpha").agg(F.round(F.avg("p"), 6).alias("precision_10"))
 
 
 @query("label_centroids", f"WITH {RUNS_SQL}, c AS (SELECT label, i, avg(u[i]) AS m FROM e, range(1, 65) t(i) GROUP BY ALL), v AS (SELECT label, list(m ORDER BY i) AS m FROM c GROUP BY label) SELECT e.label, count(*) AS n, round(avg(list_inner_product(u, m) / sqrt(list_inner_product(m, m))), 6) AS mean_similarity FROM e JOIN v USING (label) GROUP BY e.label")
@@ -163,9 +162,8 @@ def pca_projection(spark, d):
     import numpy as np
 
     g = vectors(spark, d)
-    x = g.select("doc_id", F.posexplode("vector").alias("i", "x"))
-    y = x.select("doc_id", F.col("i").alias("j"), F.col("x").alias("y"))
-    cells = x.join(y, "doc_id").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # dims squared
+    x = g.select("vector", F.posexplode("vector").alias("i", "x")).select("i", "x", F.posexplode("vector").alias("j", "y"))
+    cells = x.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # dims squared, summed before any shuffle
     n = 1 + max((c["i"] for c in cells), default=-1)
     m = np.zeros((n, n))
     for c in cells:
@@ -257,8 +255,3 @@ def score_gap(spark, d):
 @query("minmax_fusion", f"WITH {RUNS_SQL}, a AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM run_a WINDOW w AS (PARTITION BY query_id)), b AS (SELECT query_id, doc_id, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS s FROM run_b WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, round(0.3 * a.s + 0.7 * b.s, 6) AS score FROM a JOIN b USING (query_id, doc_id)")
 def minmax_fusion(spark, d):
     return fusion.mixed_scores(fusion.min_max(run_full(spark, d)), fusion.min_max(run_prefix(spark, d)), 0.3).select("query_id", "doc_id", "score")
-
-
-@query("query_set", "SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0")
-def query_set(spark, d):
-    return query_vectors(vectors(spark, d)).agg(F.count("*").alias("n"))

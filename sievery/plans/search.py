@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievery.functions.text import tokens
-from sievery.functions.vectors import composed, dot, joined, mismatches, signs, unit
+from sievery.functions.vectors import composed, dot, joined, unit
 from sievery.operators import fusion, metrics, retrieval
 
 from .base import RUNS_SQL, labelled, query, query_vectors, relevant, run_full, run_prefix, table, vectors
@@ -14,6 +14,10 @@ from .base import RUNS_SQL, labelled, query, query_vectors, relevant, run_full,
 RUN = "SELECT query_id, doc_id, score, rank::INT AS rank"
 
 
+def _rank_sql(score: str, source: str, k: int = 10) -> str:
+    return f"SELECT query_id, doc_id, round({score}, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 6) DESC, doc_id))::INT AS rank FROM {source} QUALIFY rank <= {k}"
+
+
 def listed(run):
     return run.select("query_id", "doc_id", "score", F.col("rank").cast("int").alias("rank"))
 
@@ -63,19 +67,58 @@ def _rescored(name, sql_score, score, top=10):
 
 
 _DOT = "list_inner_product"
-_rescored("knn_binary", "-list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (qv[i] >= 0) = (dv[i] >= 0) THEN 0 ELSE 1 END))::DOUBLE", lambda q, v: -mismatches(signs(q), signs(v)).cast("double"))
-_rescored("binary_then_rerank", f"{_DOT}(qv, dv) + 0.0", dot)
-_rescored("late_max_view", f"0.9 * {_DOT}(qv, dv) + 0.1 * greatest({_DOT}(qv, dv), {_DOT}(qv[1:32], dv[1:32]), {_DOT}(qv[33:64], dv[33:64]))", lambda q, v: fusion.late_max([dot(q, v), dot(F.slice(q, 1, 32), F.slice(v, 1, 32)), dot(F.slice(q, 33, 32), F.slice(v, 33, 32))], dot(q, v)))
 _rescored("maxsim_rerank", "list_sum(list_transform(range(0, 4), lambda a: list_max(list_transform(range(0, 4), lambda b: list_inner_product(qv[a * 16 + 1:a * 16 + 16], dv[b * 16 + 1:b * 16 + 16])))))",
           lambda q, v: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda s, a: s + F.array_max(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: dot(F.slice(q, a * 16 + 1, F.lit(16)), F.slice(v, b * 16 + 1, F.lit(16)))))))
 
 
-@query("compose_views", f"""WITH {RUNS_SQL}, w AS (SELECT vec_id, list_transform(range(1, 33), lambda i: 0.9 * u[i] + 0.1 * u[i + 32]) AS w FROM e)
-SELECT vec_id AS doc_id, round(list_inner_product(w, w) / list_inner_product(w, w), 6) AS squared, round(w[1] / sqrt(list_inner_product(w, w)), 6) AS first FROM w""")
-def compose_views(spark, d):
+# ---- searches of the whole gallery in other forms; each SQL scores every gallery row
+
+SIGNS_SQL = RUNS_SQL + ", sg AS (SELECT vec_id, u, list_transform(u, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END) AS b FROM e), bin AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.u AS qv, d.u AS dv, list_inner_product(q.b, d.b) AS score FROM sg q, sg d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)"
+
+
+def _binary(spark, d, k):
+    """The k nearest by sign bits: the dot product of signs, 64 less twice the bits that differ."""
+    b = vectors(spark, d).withColumn("vector", F.transform("vector", lambda x: F.when(x >= 0, 1.0).otherwise(-1.0)))
+    return retrieval.knn(query_vectors(b), b, k)
+
+
+@query("knn_binary", f"WITH {SIGNS_SQL} {_rank_sql('score', 'bin')}")
+def knn_binary(spark, d):
+    return listed(_binary(spark, d, 10))
+
+
+@query("binary_then_rerank", f"WITH {SIGNS_SQL}, top AS (SELECT * FROM bin QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 100) {_rank_sql('list_inner_product(qv, dv)', 'top')}")
+def binary_then_rerank(spark, d):
+    """Two stages: the 100 nearest by sign bits, then the exact product of these alone."""
     g = vectors(spark, d)
-    c = g.withColumn("w", composed([(F.slice("vector", 1, 32), 0.9), (F.slice("vector", 33, 32), 0.1)]))
-    return c.select("doc_id", F.round(dot(F.col("w"), F.col("w")), 6).alias("squared"), F.round(F.col("w")[0], 6).alias("first"))
+    q = g.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qv"))
+    near = _binary(spark, d, 100).select("query_id", "doc_id").join(g.select("doc_id", F.col("vector").alias("dv")), "doc_id").join(q, "query_id")
+    return listed(retrieval.ranked(near.select("query_id", "doc_id", dot(F.col("qv"), F.col("dv")).alias("score")), 10))
+
+
+VIEW_SQL = "0.9 * list_inner_product(q.u, d.u) + 0.1 * greatest(list_inner_product(q.u, d.u), list_inner_product(q.u[1:32], d.u[1:32]), list_inner_product(q.u[33:64], d.u[33:64]))"
+
+
+@query("late_max_view", f"WITH {RUNS_SQL}, j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, {VIEW_SQL} AS s FROM e q, e d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}")
+def late_max_view(spark, d):
+    """0.9 of the parent's score and 0.1 of the best of three views. With one view fixed the score is a dot product, and
+    what is among the 10 best by the best view is so by that view: three exact searches find all of them."""
+    g = vectors(spark, d)
+    runs = None
+    for lo, hi in ((1, 64), (1, 32), (33, 64)):
+        weights = F.array(*[F.lit(1.0 if lo <= i <= hi else 0.9) for i in range(1, 65)])
+        q = query_vectors(g).withColumn("vector", F.zip_with("vector", weights, lambda x, w: x * w))
+        run = retrieval.knn(q, g, 10, places=12).select("query_id", "doc_id", "score")
+        runs = run if runs is None else runs.unionByName(run)
+    return listed(retrieval.ranked(runs.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), 10))
+
+
+@query("compose_views", f"""WITH {RUNS_SQL}, w AS (SELECT vec_id, list_transform(range(1, 33), lambda i: 0.9 * u[i] + 0.1 * u[i + 32]) AS w FROM e), c AS (SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS u FROM w),
+j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.u, d.u) AS s FROM c q, c d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}""")
+def compose_views(spark, d):
+    """Search over unit vectors of 0.9 of one view and 0.1 of the other."""
+    c = vectors(spark, d).withColumn("vector", composed([(F.slice("vector", 1, 32), 0.9), (F.slice("vector", 33, 32), 0.1)]))
+    return listed(retrieval.knn(query_vectors(c), c, 10))
 
 
 @query("concat_ensemble", f"WITH {RUNS_SQL}, w AS (SELECT vec_id, list_concat(u, u[1:16]) AS w FROM e) SELECT vec_id AS doc_id, len(w)::INT AS dims, round(w[1] / sqrt(list_inner_product(w, w)), 6) AS first FROM w")
@@ -84,10 +127,10 @@ def concat_ensemble(spark, d):
     return c.select("doc_id", F.size("w").alias("dims"), F.round(F.col("w")[0], 6).alias("first"))
 
 
-@query("knn_int8", f"""WITH {RUNS_SQL},
+@query("int8_calibration", f"""WITH {RUNS_SQL},
 r AS (SELECT i, min(u[i]) AS lo, max(u[i]) AS hi FROM e, range(1, 65) t(i) GROUP BY i)
 SELECT i::INT AS dim, round(lo, 6) AS lo, round(hi, 6) AS hi, round(avg(abs((round_even((u[i] - lo) / (hi - lo) * 255, 0) / 255 * (hi - lo) + lo) - u[i])), 6) AS mean_error FROM e, r GROUP BY i, lo, hi""")
-def knn_int8(spark, d):
+def int8_calibration(spark, d):
     """Per-dimension calibration and its error: values go to 0..255 between the dimension's least and greatest, and back."""
     x = vectors(spark, d).select(F.posexplode("vector").alias("i", "x"))
     r = x.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
@@ -96,6 +139,25 @@ def knn_int8(spark, d):
     return x.join(F.broadcast(r), "i").groupBy("i", "lo", "hi").agg(F.round(F.avg(F.abs(back - F.col("x"))), 6).alias("mean_error")).select((F.col("i") + 1).alias("dim"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "mean_error")
 
 
+@query("knn_int8", f"""WITH {RUNS_SQL}, r AS (SELECT i, min(u[i]) AS lo, max(u[i]) AS hi FROM e, range(1, 65) t(i) GROUP BY i),
+z AS (SELECT vec_id, list(round_even((u[i] - lo) / (hi - lo) * 255, 0) / 255 * (hi - lo) + lo ORDER BY i) AS u FROM e, r GROUP BY vec_id),
+j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.u, d.u) AS s FROM e q, z d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}""")
+def knn_int8(spark, d):
+    """Float queries against the gallery's vectors after 8 bits a dimension, calibrated on the gallery; one row of bounds is broadcast."""
+    g = vectors(spark, d)
+    r = g.select(F.posexplode("vector").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    bounds = r.agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))
+    back = F.zip_with("vector", "b", lambda x, b: F.rint((x - b["lo"]) / (b["hi"] - b["lo"]) * 255) / 255 * (b["hi"] - b["lo"]) + b["lo"])
+    return listed(retrieval.knn(query_vectors(g), g.join(F.broadcast(bounds)).withColumn("vector", back), 10))
+
+
+@query("knn_half", f"WITH {RUNS_SQL}, h AS (SELECT vec_id, list_transform(u, lambda x: round_even(x * 1024, 0) / 1024) AS u FROM e), j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.u, d.u) AS s FROM h q, h d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}")
+def knn_half(spark, d):
+    """Search after rounding to ten binary places, the precision that half floats have near 1."""
+    h = vectors(spark, d).withColumn("vector", F.transform("vector", lambda x: F.rint(x * 1024) / 1024))
+    return listed(retrieval.knn(query_vectors(h), h, 10))
+
+
 # ---- lexical retrieval over the parts catalog; queries are the distinct (name, type) of every fiftieth part
 
 PARTS_SQL = """
@@ -111,8 +173,6 @@ bf AS (SELECT query_id, doc_id, max(s) + 0.3 * (sum(s) - max(s)) AS score FROM f
 """
 
 
-def _rank_sql(score: str, source: str, k: int = 10) -> str:
-    return f"SELECT query_id, doc_id, round({score}, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 6) DESC, doc_id))::INT AS rank FROM {source} QUALIFY rank <= {k}"
 
 
 def _parts(spark, d):
@@ -265,14 +325,13 @@ def macro(spark, d):
     return metrics.macro(m, ["hit_10"]).select(F.round("hit_10", 6).alias("hit_10"), "n_queries")
 
 
-@query("diagonal_rank", f"WITH {RUNS_SQL}, p AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round(list_inner_product(q.u[1:32], x.u[33:64]), 6) AS s FROM e q, e x WHERE q.vec_id % 50 = 0 AND x.vec_id % 50 = 0) SELECT a.query_id, (1 + count(*) FILTER (a.s > b.s))::INT AS rank FROM p a JOIN p b ON a.query_id = b.query_id AND b.query_id = b.doc_id GROUP BY a.query_id")
+@query("diagonal_rank", f"WITH {RUNS_SQL}, p AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, round(list_inner_product(q.u[1:32], x.u[33:64]), 6) AS s FROM e q, e x WHERE q.vec_id % 50 = 0) SELECT a.query_id, (1 + count(*) FILTER (a.s > b.s))::INT AS rank FROM p a JOIN p b ON a.query_id = b.query_id AND b.query_id = b.doc_id GROUP BY a.query_id")
 def diagonal_rank(spark, d):
-    """Texts (first half of a vector) against images (second half) among the query set: the own image's rank."""
-    g = vectors(spark, d).where(F.col("doc_id") % 50 == 0)
-    texts = g.select(F.col("doc_id").alias("query_id"), F.slice("vector", 1, 32).alias("vector"))
+    """Texts (first half of a vector) of the query set against all images (second half): the own image's rank, from counts of higher scores a task."""
+    g = vectors(spark, d)
     images = g.select("doc_id", F.slice("vector", 33, 32).alias("vector"))
-    scores = retrieval.knn(texts, images, 1 << 30, skip_self=False)
-    return metrics.rank_of_own(scores).select("query_id", F.col("rank").cast("int").alias("rank"))
+    texts = query_vectors(g).select("query_id", F.slice("vector", 1, 32).alias("vector"), F.round(dot(F.slice("vector", 1, 32), F.slice("vector", 33, 32)), 6).alias("own"))
+    return retrieval.higher_counts(texts, images).select("query_id", (F.col("higher") + 1).cast("int").alias("rank"))
 
 
 @query("weighted_overall", f"WITH {RUNS_SQL}, s AS (SELECT q.label, avg(grade) AS m, count(*) AS n FROM run_a r JOIN e q ON q.vec_id = r.query_id WHERE rank <= 10 GROUP BY q.label) SELECT round(sum(m * n) / sum(n), 6) AS overall FROM s")

@@ -143,3 +143,41 @@ def test_synonyms_take_the_longest_match(spark):
     q = spark.createDataFrame([(1, "blue ring"), (2, "a blue hat"), (3, "bluebird"), (4, None)], "id int, t string")
     got = {r["id"]: r["expanded"] for r in understanding.expand_synonyms(q, "t", {"blue": ["navy"], "blue ring": ["sapphire"]}).collect()}
     assert got == {1: "blue ring sapphire", 2: "a blue hat navy", 3: "bluebird", 4: None}
+
+
+def test_word_hashes_of_near_texts_meet(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sievery.functions.text import tokens
+    from sievery.operators import leakage
+
+    r = random.Random(2)
+    base = [f"word{r.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"word{r.randrange(10**6)}" for _ in range(300)), ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("h", leakage.simhash(tokens(F.col("text"))))
+    h = {x["id"]: x["h"] for x in rows.collect()}
+    apart = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    assert h[3] is None and apart(h[0], h[1]) <= 6 < apart(h[0], h[2])
+    some = rows.where("h IS NOT NULL")
+    got = leakage.hamming_matches(some.select(F.col("id").alias("id_a"), F.col("h").alias("hash_a")), some.select(F.col("id").alias("id_b"), F.col("h").alias("hash_b")), 6)
+    assert {(x["id_a"], x["id_b"], x["distance"]) for x in got.collect()} == {(a, b, apart(h[a], h[b])) for a in range(3) for b in range(3) if apart(h[a], h[b]) <= 6}
+
+
+def test_exact_search_keeps_ties_by_id(spark):
+    import numpy as np
+
+    from sievery.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(700, 3)), 1)  # many ties
+    g = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, vector array<double>").repartition(3)
+    q = g.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    got = {}
+    for x in retrieval.knn(q, g, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(x["query_id"], []).append(x["doc_id"])
+    for i, docs in got.items():
+        s = np.round(v @ v[i], 6)
+        s[i] = -np.inf
+        assert docs == sorted(range(700), key=lambda j: (-s[j], j))[:7]
