@@ -5,7 +5,7 @@ a bucket's register keeps the least hash's count of leading zeros and the mantis
 equal sets form a class. Classes that share a band of registers are candidates, the collision-corrected estimate of
 their Jaccard similarity, from finer registers, drops those far from the threshold, and the full sets of the others are compared.
 
-All candidates of a large group are never emitted. In a few rounds each class is compared with one hub of its
+All candidates of a large group are never emitted. Each class is first compared with a few hubs of its
 buckets, which joins most of a group of near copies in a linear number of comparisons; after that, only pairs from
 different components of a bucket are estimated, inside the tasks, and those near the threshold are emitted, the most
 similar first, so that components grow together before the less similar pairs come up. The classes of a crowded
@@ -155,11 +155,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y"), each, "a long, b long")
 
 
+def starred(edges: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Edges (a, b) with the same components: those of each `most` or so that a task reads, as (least node, other node)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+            if sum(h.shape[1] for h in held) >= most:
+                yield contracted(np.concatenate(held, axis=1))
+                held = []
+        if held:
+            yield contracted(np.concatenate(held, axis=1))
+
+    def contracted(pairs: np.ndarray) -> pa.RecordBatch:
+        node, place = np.unique(pairs, return_inverse=True)
+        x, y = place.reshape(pairs.shape)
+        label, last = np.arange(len(node)), None
+        while last is None or (label != last).any():
+            last, low = label, np.minimum(label[x], label[y])
+            label = last.copy()
+            np.minimum.at(label, last[x], low)
+            np.minimum.at(label, last[y], low)
+            label = label[label]
+        other = np.flatnonzero(label != np.arange(len(node)))
+        return pa.record_batch([pa.array(node[label[other]]), pa.array(node[other])], names=["a", "b"])
+
+    return mapped(edges.select("a", "b"), each, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes of the stored edges (a, b): comp is the least node reachable.
+    """(node, comp) of all nodes of the stored edges (a, b), none from a node to itself: comp is the least node reachable.
 
-    Each round takes the least label among neighbours and then the label of that label, into a stored table, until none changes."""
-    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    Tasks first contract the edges they read. Each round then takes the least label among neighbours and the label of
+    that label, into a stored table, until none changes."""
+    links = written(starred(edges), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumn("moved", F.lit(True)), "labels")
     while not labels.where("moved").isEmpty():
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
@@ -299,13 +330,14 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
     comps = None
 
     def stars_over(met: DataFrame, rounds: range) -> None:
-        """Each class that shares a bucket with another component is compared with one random hub of its buckets."""
-        for r in rounds:
-            seen = with_comp(met, comps)
-            hubs = seen.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("comp"))).alias("hub"), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h")
-            chosen = seen.join(hubs, "key").where("comp != hub.comp").groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "hub.node", F.lit(r)), F.col("hub.node").alias("node"))).alias("hub"))
-            pairs = written(pair_up(chosen.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))), "stars")
-            grow(confirmed(pairs, sets, percent))
+        """Each class that shares a bucket with another component is compared with one random hub of its buckets for each of `rounds`."""
+        seen = with_comp(met, comps)
+        hub = {r: F.min(F.struct(F.xxhash64("node", F.lit(r)), F.col("node"), F.col("comp"))).alias(f"hub{r}") for r in rounds}
+        hubs = seen.groupBy("key").agg(*hub.values(), F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").drop("l", "h")
+        nearest = [F.min(F.when(F.col("comp") != F.col(f"hub{r}.comp"), F.struct(F.xxhash64("node", f"hub{r}.node", F.lit(r)), F.col(f"hub{r}.node").alias("node"))))["node"] for r in rounds]
+        chosen = seen.join(hubs, "key").groupBy("node").agg(F.array_distinct(F.array_compact(F.array(*nearest))).alias("hubs"))
+        pairs = written(pair_up(chosen.select(F.explode("hubs").alias("a"), F.col("node").alias("b"))), "stars")
+        grow(confirmed(pairs, sets, percent))
 
     def grow(found: DataFrame) -> None:
         """Adds links to the components: those of the components that the links join, and of nodes that had none."""

@@ -136,3 +136,18 @@ def test_similarity_is_estimated_well():
         u, v = nd.marks(x), nd.marks(y)
         args = ((u == v).sum(), (u > 0).sum(), (v > 0).sum(), ((u > 0) & (v > 0)).sum(), len(x), len(y))
         assert nd.similar(*args, 75)
+
+
+def test_components_of_contracted_edges(spark):
+    """A long chain, stars and random links, contracted a few at a time and in one go."""
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(8, 30)] + [(r.randrange(200, 400), r.randrange(400, 500)) for _ in range(90)]
+    least = {n: n for e in edges for n in e}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {(x["node"], x["comp"]) for x in nd.components(df).collect()} == set(least.items())
+    some = nd.starred(df, most=4).collect()
+    assert all(x["a"] < x["b"] and least[x["a"]] == least[x["b"]] for x in some)
+    assert nd.starred(df.limit(0)).isEmpty() and nd.components(df.limit(0)).isEmpty()
