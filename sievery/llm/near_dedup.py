@@ -207,7 +207,9 @@ def across(rows: DataFrame, percent: int, first: int, end: int, block: int = CRO
     A key with more than `block` rows is dealt into blocks, and each two blocks meet in a task of their own. A pair's
     place is its rank by similarity among all pairs of the one or the other there, whichever is less: it doesn't
     depend on comp or on the order in which rows arrive, so ranges of places that cover everything find every pair, the most promising ones first. A pair
-    that shares several keys comes from the first band alone, among the bits of `bands`, in which its registers are equal."""
+    that shares several keys comes from the first band alone, among the bits of `bands`, in which its registers are equal.
+    Of finer buckets, which are no bands, `registers` are the slots and `bands` those that hold a lesser bucket: a pair
+    comes from its least bucket, and from others only where slots hide that one."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / block))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     dealt = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -278,6 +280,18 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return held.select("node", F.explode(F.slice("keys", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("k")).select("node", "k.key")
 
 
+def slotted(finer: DataFrame, slots: int = 64) -> DataFrame:
+    """(node, slots, registers): the least of a node's finer buckets (node, key) among those of each remainder, 0 if none, and their bytes."""
+    least = F.array(*[F.coalesce(F.min(F.when(F.pmod("key", F.lit(slots)) == s, F.col("key"))), F.lit(0)) for s in range(slots)])
+    return finer.groupBy("node").agg(least.alias("slots")).withColumn("registers", F.unhex(F.array_join(F.transform("slots", lambda k: F.lpad(F.hex(k), 16, "0")), "")))
+
+
+def below(slots: Column, key: Column) -> Column:
+    """A bit for each slot that holds a lesser bucket than key. A pair that has such a slot in common meets there as well."""
+    bits = F.transform(slots, lambda k, i: F.when((k != 0) & (k < key), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id, kept.
 
@@ -306,7 +320,6 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
     met = written(bands.join(shared, "key"), "bands")
 
     marks_of = classes.select("node", "marks", "n")
-    sketch_of = classes.select("node", "marks", "n", "registers")
     wanted = written(met.select("node").distinct().join(classes.select("node", "text_hash", "set_hash"), "node"), "wanted")
     sets = written(full_sets(docs, wanted, text_col), "sets")
 
@@ -355,7 +368,7 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
         moved = small_enough(joined.select(F.col("node").alias("was"), F.col("comp").alias("now")), 32)
         comps = written(known.join(moved, "was", "left").select("node", F.coalesce("now", "was").alias("comp")), "comps")
 
-    def pairs_over(met: DataFrame) -> None:
+    def pairs_over(met: DataFrame, sketch_of: DataFrame) -> None:
         """What shares a bucket but not a component yet, the most similar first."""
         for first, end in ((0, 2), (2, 1 << 62)):
             seen = with_comp(met, comps)
@@ -369,12 +382,14 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
     mixed_keys = written(left.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.count("*").alias("c")).where("l < h").select("key", (F.col("c") > CROWD).alias("crowded")), "mixed")
     few = met.join(mixed_keys.where("NOT crowded").select("key"), "key")
     used = few.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("bands"))
-    pairs_over(written(few.join(used, "node"), "few"))
+    pairs_over(written(few.join(used, "node"), "few"), classes.select("node", "marks", "n", "registers"))
     if not mixed_keys.where("crowded").isEmpty():
         crowd = written(met.join(mixed_keys.where("crowded").select("key"), "key").select("node").distinct(), "crowd")
         finer = written(rarest(sets.join(crowd, "node"), percent), "finer")
         stars_over(finer, range(stars, stars + 1))
-        pairs_over(finer.withColumns({"band": F.lit(0), "bands": F.lit(0).cast("long")}))
+        slots = written(slotted(finer), "slots")
+        lesser = finer.join(slots, "node").select("node", "key", F.lit(64).alias("band"), below(F.col("slots"), F.col("key")).alias("bands"))
+        pairs_over(lesser, marks_of.join(slots.select("node", "registers"), "node"))
     linked = with_comp(classes.select("node", "set_hash", "rep", "rows"), comps)
     least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("size")).where("size > 1").select("comp", "component_id")
     of_set = linked.join(least, "comp").select("set_hash", "comp", "component_id")

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sievery.llm import near_dedup as nd
+from sievery.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -151,3 +153,19 @@ def test_components_of_contracted_edges(spark):
     some = nd.starred(df, most=4).collect()
     assert all(x["a"] < x["b"] and least[x["a"]] == least[x["b"]] for x in some)
     assert nd.starred(df.limit(0)).isEmpty() and nd.components(df.limit(0)).isEmpty()
+
+
+def test_slots_of_finer_buckets_lose_no_pair(spark):
+    """Texts that share many finer buckets: leaving pairs to their least bucket finds the same ones."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[: 120 - r.randint(0, 3)], *[f"x{r.randrange(10**6)}" for _ in range(3)]]) for _ in range(30)]
+    sets = nd.shingle_sets(texts)
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, members binary")
+    finer = written(nd.rarest(full, 75), "finer")
+    marks = spark.createDataFrame([(i, i, len(s), nd.marks(s).tobytes()) for i, s in enumerate(sets)], "node long, comp long, n long, marks binary")
+    keys = finer.join(nd.slotted(finer), "node").select("node", "key", F.lit(64).alias("band"), nd.below(F.col("slots"), F.col("key")).alias("bands"), "registers")
+    rows = keys.join(marks, "node")
+    once = {(x["a"], x["b"]) for x in nd.across(rows, 75, 0, 1 << 62).collect()}
+    every = {(x["a"], x["b"]) for x in nd.across(rows.withColumns({"band": F.lit(0), "bands": F.lit(0).cast("long")}), 75, 0, 1 << 62).collect()}
+    assert once == every and len(every) > 100
