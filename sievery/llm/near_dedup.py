@@ -139,7 +139,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Those of the stored pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +152,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     of_a = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     of_b = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return mapped(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y"), each, "a long, b long")
+    few = small_enough(pairs, 16)  # so that sets which no pair needs aren't shuffled
+    of_a = of_a.join(few.select("a"), "a", "left_semi")
+    return mapped(few.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y"), each, "a long, b long")
 
 
 def starred(edges: DataFrame, most: int = 1 << 19) -> DataFrame:
@@ -300,7 +302,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, stars: int = 3, id_col:
     linked with nothing and keeps its id as component_id. Equal texts are linked, also under one id; a null id is
     never a component_id unless no other is reachable. So all rows of the least id are marked as kept, and all rows of
     a group that has null ids only; deduplicated() keeps one of them. Columns other than the two named are not read. An
-    empty table gives an empty result. With 32 bands of 4 registers a pair at the threshold is missed with a chance of 5e-6."""
+    empty table gives an empty result. Candidate pairs and moved
+    components are broadcast if, counted, they take at most 48 MB, and shuffled otherwise: the rows are the same. With
+    32 bands of 4 registers a pair at the threshold is missed with a chance of 5e-6."""
     component = F.coalesce("component_id", "id")
     out = linked_rows(docs, percent, stars, id_col, text_col)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -334,7 +338,8 @@ def linked_rows(docs: DataFrame, percent: int, stars: int, id_col: str, text_col
     def pair_up(pairs: DataFrame) -> DataFrame:
         of_a = marks_of.select(F.col("node").alias("a"), F.col("marks").alias("x"), F.col("n").alias("n_a"))
         of_b = marks_of.select(F.col("node").alias("b"), F.col("marks").alias("y"), F.col("n").alias("n_b"))
-        both = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "x", "y", "n_a", "n_b")
+        few = small_enough(written(pairs, "hubs"), 16)
+        both = few.join(of_b, "b").join(of_a.join(few.select("a"), "a", "left_semi"), "a").select("a", "b", "x", "y", "n_a", "n_b")
         return mapped(both, estimated, "a long, b long")
 
     def with_comp(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
