@@ -17,6 +17,9 @@ def odd_rows():
 def written(spark, path, docs, labels):
     docs.write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
+    pages = docs.selectExpr("doc_id AS page_id", "CASE WHEN doc_id % 4 = 0 THEN 'https://a.example.net/en/?x' WHEN doc_id % 4 < 3 THEN text END AS url", "text AS html", "source AS host", "score", "kept AS rule")
+    pages.write.parquet(f"{path}/pages.parquet")
+    docs.selectExpr("doc_id AS item_id", "substr(text, 1, 100) AS text").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
 
 
