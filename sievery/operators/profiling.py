@@ -62,18 +62,22 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.round(F.avg((apart == 0).cast("double")), 6).alias("exact"), F.round(F.avg((apart <= 1).cast("double")), 6).alias("within_one"), F.round(F.avg(apart), 6).alias("mean_difference"))
 
 
-def runs_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with run: consecutive rows of one key, in the order of a numeric column, share a number.
+def runs_of_key(rows: DataFrame, key: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with run: consecutive rows of one key, in the order of a numeric column, share a number; from 1 within each group of `by`.
 
-    Changes are counted within bins of the order; those at and before a bin's first row come from the bins' sums and boundary keys."""
-    w = Window.partitionBy("_bin").orderBy(order)
+    Changes are counted within bins of the order; those at and before a bin's first row come from the bins' sums and
+    boundary keys, a row a group and bin. No task holds a whole group."""
+    w = Window.partitionBy(*by, "_bin").orderBy(order)
     inside = (F.row_number().over(w) > 1) & ~F.col(key).eqNullSafe(F.lag(key).over(w))
     placed = binned(rows, order).withColumn("_new", inside.cast("int"))
     pair = F.struct(F.col(order).alias("o"), F.col(key).alias("k"))
-    bins = placed.groupBy("_bin").agg(F.sum("_new").alias("c"), F.min(pair).alias("first"), F.max(pair).alias("last"))
-    of_bins = Window.orderBy("_bin")
-    edge = (~F.col("first.k").eqNullSafe(F.lag("last.k").over(of_bins))).cast("long")
+    bins = placed.groupBy(*by, "_bin").agg(F.sum("_new").alias("c"), F.min(pair).alias("first"), F.max(pair).alias("last"))
+    of_bins = Window.partitionBy(*by).orderBy("_bin")
+    edge = ((F.row_number().over(of_bins) == 1) | ~F.col("first.k").eqNullSafe(F.lag("last.k").over(of_bins))).cast("long")
     earlier = F.coalesce(F.sum("c").over(of_bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = bins.withColumn("edge", edge).select("_bin", (F.sum("edge").over(of_bins) + earlier).alias("_start"))
-    numbered = placed.withColumn("_in", F.sum("_new").over(w)).join(F.broadcast(starts), "_bin")
+    starts = bins.withColumn("edge", edge).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_of"), (F.sum("edge").over(of_bins) + earlier).alias("_start"))
+    same = F.col("_bin") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    numbered = placed.withColumn("_in", F.sum("_new").over(w)).join(starts if by else F.broadcast(starts), same)
     return numbered.withColumn("run", F.col("_start") + F.col("_in")).select(*rows.columns, "run")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sievery.functions.text import tokens
 
+from .places import binned, numbered
+
 
 def ranked(scored: DataFrame, k: int | None = None, places: int = 6) -> DataFrame:
     """scored (query_id, doc_id, score, ...) with the score rounded and rank; only ranks up to k, which Spark cuts before the shuffle."""
@@ -159,3 +161,30 @@ def max_similarity(query_tokens: DataFrame, doc_tokens: DataFrame, pairs: DataFr
     query_tokens (query_id, q_no, qv), doc_tokens (doc_id, d_no, dv); similarity is an expression on qv and dv."""
     met = pairs.join(query_tokens, "query_id").join(doc_tokens, "doc_id").groupBy("query_id", "doc_id", "q_no").agg(F.max(similarity).alias("m"))
     return met.groupBy("query_id", "doc_id").agg(F.sum("m").alias("score"))
+
+
+def similar_to_last(rows: DataFrame, scope: str, order: str, views: dict[str, float], size: int) -> DataFrame:
+    """scope, order, n_compared, n_similar: how many of the `size` rows before, in the scope's order, are alike in any view.
+
+    views: columns of vectors and the cosine above which two are alike. Rows are numbered without a task that holds a
+    scope, cut into blocks of `size`, and each block meets itself and the one before: 2 x size rows a task at once."""
+    placed = numbered(binned(rows.select(scope, order, *views), order), [scope], [order])
+    block = F.floor((F.col("_nth") - 1) / size)
+    both = placed.withColumn("_block", F.explode(F.array(block, block + 1)))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def compared(key: tuple, group: pa.Table) -> pa.Table:
+        nth, of = group["_nth"].to_numpy(), key[-1].as_py()
+        own = (nth - 1) // size == of
+        gap = nth[own][:, None] - nth[None, :]
+        valid, alike = (gap > 0) & (gap <= size), np.zeros(gap.shape, bool)
+        for name, least in views.items():
+            x = group[name].combine_chunks()
+            x = x.flatten().to_numpy().astype(np.float64).reshape(len(x), -1)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = x / np.where(norm > 0, norm, 1)
+            alike |= x[own] @ x.T > least
+        mine = group.filter(pa.array(own))
+        return pa.table({scope: mine[scope], order: mine[order], "n_compared": valid.sum(axis=1), "n_similar": (valid & alike).sum(axis=1)})
+
+    return both.groupBy(scope, "_block").applyInArrow(compared, f"{scope} {kind[scope]}, {order} {kind[order]}, n_compared long, n_similar long")

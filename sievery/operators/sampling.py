@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +113,53 @@ def grouped_batches(rows: DataFrame, by: str, per_batch: int, key: str, seed: in
     sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
     slots = sizes.select(by, F.explode(F.sequence(F.lit(0), F.lit(per_batch - 1))).alias("slot"), "_n").withColumn("_p", F.col("slot") % F.col("_n"))
     return slots.join(ordered.where(F.col("_p") < per_batch), [by, "_p"]).select(by, "slot", key)
+
+
+def greedy_quota(rows: DataFrame, key: str, buckets: str, order: str, targets: dict[str, int]) -> DataFrame:
+    """The rows a scan in `order` (unique) takes, with needed: a row is taken if its key was not taken before and any of its
+    buckets (an array) has room; it then fills all of its buckets that have room.
+
+    While a bucket has room, every key that comes up in it is taken or was taken before, and at most the sum of the
+    targets are taken at all. So of each bucket only the first so many keys, each at its first row, can matter: these, at
+    most buckets times that sum, pass through one task as ids and bucket names; everything before is cut in the tasks."""
+    total, named = sum(targets.values()), F.array(*map(F.lit, sorted(targets)))
+    each = rows.select(F.col(key).cast("string").alias("_id"), F.col(order).alias("_at"), F.explode(F.array_intersect(buckets, named)).alias("_b"))
+    able = per_group(each.groupBy("_id", "_b").agg(F.min("_at").alias("_at")), ["_b"], total, ["_at", "_id"])
+    candidates = able.groupBy("_at", "_id").agg(F.collect_set("_b").alias("_b")).repartition(1).sortWithinPartitions("_at", "_id")
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room, seen = dict(targets), set()
+        for batch in batches:
+            found = []
+            for at, item, names in zip(batch["_at"], batch["_id"], batch["_b"], strict=True):
+                needed = sorted(b for b in names if room[b] > 0)
+                if needed and item not in seen:
+                    seen.add(item)
+                    found.append((at, item, needed))
+                    for b in needed:
+                        room[b] -= 1
+            yield pd.DataFrame(found, columns=["_at", "_id", "needed"])
+
+    kind = rows.schema[order].dataType.simpleString()
+    chosen = candidates.mapInPandas(taken, f"_at {kind}, _id string, needed array<string>")
+    same = (F.col(order) == F.col("_at")) & (F.col(key).cast("string") == F.col("_id"))
+    return rows.join(F.broadcast(chosen) if total <= 100_000 else chosen, same).drop("_at", "_id")
+
+
+def first_until(rows: DataFrame, keep: Column, order: str, target: int, most: int) -> DataFrame:
+    """The kept rows, with nth, of a scan in a numeric order that stops at `target` kept rows or `most` examined ones."""
+    examined = numbered(binned(rows, order), [], [order]).where(F.col("_nth") <= most).drop("_nth")
+    return numbered(binned(examined.where(keep), order), [], [order]).where(F.col("_nth") <= target).withColumnRenamed("_nth", "nth")
+
+
+def first_of_each(rows: DataFrame, by: str, order: str, quotas: dict[str, int]) -> DataFrame:
+    """The first rows of each group that has a quota, as many as that, with nth; Spark cuts the groups before its shuffle."""
+    want = F.coalesce(*[F.when(F.col(by) == g, F.lit(n)) for g, n in quotas.items()])
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return rows.where(F.col(by).isin(list(quotas))).withColumn("nth", nth).where(F.col("nth") <= max(quotas.values())).where(F.col("nth") <= want)
+
+
+def top_share_weights(rows: DataFrame, batch: str, score: str, quantile: float = 0.9, weight: float = 5.0) -> DataFrame:
+    """rows with weight: `weight` from the batch's interpolated quantile of the score on, else 1. A batch is of bounded size."""
+    cuts = rows.groupBy(batch).agg(F.percentile(score, F.lit(quantile)).alias("_cut"))
+    return rows.join(cuts, batch).withColumn("weight", F.when(F.col(score) >= F.col("_cut"), weight).otherwise(1.0)).drop("_cut")
