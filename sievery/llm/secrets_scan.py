@@ -33,12 +33,12 @@ SHAPES = [
     ("stripe_key", r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}"),
     ("jwt", r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"),
     ("private_key", PEM + r"(?:(?s:(?:(?!-----).)*+)-----END [A-Z ]*PRIVATE KEY-----|" + PEM_OPEN + ")?"),
-    ("url_password", r"(?<=://)[^\s:/@\"'<>]{1,64}:[^\s:/@\"'<>]{4,128}(?=@)"),
+    ("url_password", r"(?<=://)[^\s:/@\"'<>]++:[^\s:/@\"'<>]{4,}+(?=@)"),
     ("assignment", r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?(?:(?!" + PEM + r")[^\s\"'<>,;#]){6,}"),
     ("hex", r"\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b"),
-    ("random", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("random", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"),
 ]
-PREFIX = r"^(?:[^\s:/@\"'<>]{1,64}:(?=[^\s:/@\"'<>]{4,128}$))|^(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?"
+PREFIX = r"^(?:[^\s:/@\"'<>]++:(?=[^\s:/@\"'<>]{4,}+$))|^(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,3}[:=]{1,2}>?[ \t]{0,3}[\"']?"
 # Words for the dictionary coverage, and words around and paths of true and false findings.
 DICTIONARY = "password passwd secret token example sample test demo dummy placeholder your here change changeme insert replace value string none null true false admin user root default letmein welcome hello world foo bar baz key api access auth login config env name data file path home local host server client public private number word text the and for with this that from not".split()
 SECRET_WORDS = "password passwd pwd secret token key apikey credential credentials auth bearer private aws access login passphrase".split()
@@ -110,7 +110,7 @@ def pairs_of(value: Column) -> Column:
 def chain_ratios(findings: DataFrame) -> list[float]:
     """log P(b | a, secret) - log P(b | a, false positive) of each transition of character classes, from labelled findings; at most two counts a transition come to the driver."""
     k = len(CLASSES)
-    pairs = findings.where("value IS NOT NULL AND label IS NOT NULL").select(F.explode(pairs_of(F.substring("value", 1, 256))).alias("pair"), F.col("label").cast("int").alias("label"))
+    pairs = findings.where("value IS NOT NULL AND label IS NOT NULL").select(F.explode(pairs_of(F.col("value"))).alias("pair"), F.col("label").cast("int").alias("label"))
     counts = [[1.0] * (k * k), [1.0] * (k * k)]
     for r in pairs.groupBy("pair", "label").count().collect():
         if 0 <= r["pair"] < k * k and r["label"] in (0, 1):
@@ -127,7 +127,7 @@ def features(c: Column, path: Column, ratios: list[float]) -> dict[str, Column]:
     left = F.regexp_replace(F.lower(value), "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")
     near = F.lower(F.concat_ws(" ", c["before"], c["after"]))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded into one constant
-    steps = F.aggregate(pairs_of(F.substring(value, 1, 256)), F.lit(0.0), lambda s, p: s + F.get(table, p))
+    steps = F.aggregate(pairs_of(value), F.lit(0.0), lambda s, p: s + F.get(table, p))
 
     def share(pattern: str) -> Column:
         return F.length(F.regexp_replace(value, pattern, "")) / n
@@ -138,7 +138,7 @@ def features(c: Column, path: Column, ratios: list[float]) -> dict[str, Column]:
     return {
         "length": n,
         "transitions": F.length(F.regexp_replace(classes, "(.)\\1*", "x")) / n,
-        "chain": F.coalesce(steps, F.lit(0.0)) / F.least(n, F.lit(256.0)),
+        "chain": F.coalesce(steps, F.lit(0.0)) / n,
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n,
         "digits": share("[^0-9]"),
         "upper": share("[^A-Z]"),
@@ -275,11 +275,10 @@ def redacted(docs: DataFrame, model: dict, least: float = 0.5, text_col: str = "
         return F.struct(F.array_join(F.flatten(F.zip_with(x["gaps"], parts, lambda g, p: F.array(g, F.coalesce(p, F.lit(""))))), "").alias("text"), F.size(F.filter(x["found"], lambda f: f["score"] >= least)).alias("n"))
 
     names = [c for c in docs.columns if c not in (text_col, count_col)]
-    marked = docs.select(*[F.col(f"`{c}`") for c in names], text.alias("_was"), let(found, clean).alias("_found")) if not {"_was", "_found"} & set(names) else None
-    if marked is None:
-        raise ValueError("columns named _was and _found are used by redacted()")
+    row = F.struct(F.lit(0).alias("_none"), *[F.col(f"`{c}`") for c in names])
+    marked = docs.select(row.alias("_row"), text.alias("_was"), let(found, clean).alias("_found"))
     out = {text_col: F.when(F.col("_was").isNotNull() & (F.col("_found.n") > 0), F.col("_found.text")).otherwise(F.col("_was")), count_col: F.col("_found.n")}
-    return marked.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in dict.fromkeys([*docs.columns, count_col])])
+    return marked.select(*[(out[c] if c in out else F.col(f"_row.`{c}`")).alias(c) for c in dict.fromkeys([*docs.columns, count_col])])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,9 +230,9 @@ def secret_brute(text, path, model):
         left = re.sub("|".join(sorted(ss.DICTIONARY, key=lambda w: (-len(w), w))), "", low)
         near = f"{before} {after}".lower()
         has = lambda t, words: float(bool(re.search("(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])", t)))
-        codes = [ss.CLASSES.index(c) for c in re.sub("[^a-z0]", "-", re.sub("[0-9]", "0", low[:256]))]
+        codes = [ss.CLASSES.index(c) for c in re.sub("[^a-z0]", "-", re.sub("[0-9]", "0", low))]
         v = {
-            "length": n, "transitions": len(re.sub(r"(.)\1*", "x", classes)) / n, "chain": sum(model["ratios"][a * len(ss.CLASSES) + b] for a, b in zip(codes, codes[1:])) / min(n, 256), "distinct": len(set(value)) / n,
+            "length": n, "transitions": len(re.sub(r"(.)\1*", "x", classes)) / n, "chain": sum(model["ratios"][a * len(ss.CLASSES) + b] for a, b in zip(codes, codes[1:])) / n, "distinct": len(set(value)) / n,
             "digits": sum(c in "0123456789" for c in value) / n, "upper": sum("A" <= c <= "Z" for c in value) / n, "coverage": 1 - len(left) / n, "longest_word": max(map(len, re.split("[^a-z]+", low))) / n,
             "path": float(bool(re.search("|".join(ss.PATH_WORDS), path.lower()))), "secret_near": has(before.lower(), ss.SECRET_WORDS), "benign_near": has(near, ss.BENIGN_WORDS), "assigned": float(bool(re.search("[:=]>?[ \t]*[\"']?$", before))),
             "known_shape": float(kind not in ("assignment", "hex", "random")), "hex_only": float(bool(re.fullmatch("[0-9a-f]+", value))), "same_run": (n - len(re.sub(r"(.)\1+", r"\1", value))) / n,
