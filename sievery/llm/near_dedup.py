@@ -411,17 +411,18 @@ def deduplicated(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     first = grouped.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))).alias("first"))
     others = grouped.select("comp", "id", "text_hash").distinct().join(first, "comp").where("NOT (id <=> first.id AND text_hash = first.text_hash)")
     gone = written(others.select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    mark = "_hash" + "_" * max([0, *(len(c) for c in docs.columns)])  # no column of docs
+    hashed = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
 
     def same(other: DataFrame) -> Column:
-        return hashed[id_col].eqNullSafe(other["_gone_id"]) & (hashed["_hash"] == other["_gone_hash"])
+        return hashed[id_col].eqNullSafe(other["_gone_id"]) & (hashed[mark] == other["_gone_hash"])
 
     left = hashed.join(small_enough(gone, 32), same(gone), "left_anti")
     again = written(found.groupBy(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).count().where("count > 1").drop("count"), "again")
     if again.isEmpty():
-        return left.drop("_hash")
-    repeated = left.join(again, same(again), "left_semi").dropDuplicates([id_col, "_hash"])
-    return left.join(again, same(again), "left_anti").unionByName(repeated).drop("_hash")
+        return left.drop(mark)
+    repeated = left.join(again, same(again), "left_semi").dropDuplicates([id_col, mark])
+    return left.join(again, same(again), "left_anti").unionByName(repeated).drop(mark)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
