@@ -182,8 +182,8 @@ class CrossParser:
         return labels, scores
 
 
-def learn(rows: DataFrame, per_language: int = 128, passages: int = 4, characters: int = 512, symbols: int = 160_000) -> dict[str, list[str]]:
-    """A model from (id, text, lang) rows: of at most per_language texts of each language, chosen by hash, up to `passages` passages of `characters` characters that lie anywhere in the text, `symbols` characters of all languages in equal shares.
+def learn(rows: DataFrame, per_language: int = 128, passages: int = 4, characters: int = 512, symbols: int = 40_000) -> dict[str, list[str]]:
+    """A model from (id, text, lang) rows: of at most per_language texts of each language, chosen by hash, up to `passages` passages of `characters` characters that lie anywhere in the text, `symbols` characters of each language.
 
     Every text's first choice counts before the second ones. Every letter in them counts. Rows with a
     null id, text or lang are left out; repeated rows count once. What comes to the driver is bounded for each language."""
@@ -193,10 +193,9 @@ def learn(rows: DataFrame, per_language: int = 128, passages: int = 4, character
     texts = usable.join(F.broadcast(chosen), ["lang", "row"]).select("lang", "row", F.slice(F.array_sort(parts), 1, passages).alias("parts"))
     found = texts.groupBy("lang", "row").agg(F.min("parts").alias("parts")).select("lang", F.posexplode("parts").alias("nth", "part")).select("lang", "nth", "part.h", "part.p").collect()
     model: dict[str, list[str]] = {}
-    share = symbols // max(len({r["lang"] for r in found}), 1)
     for lang, _, _, passage in sorted(map(tuple, found)):
         mine = model.setdefault(lang, [])
-        if sum(map(len, mine)) + len(passage) <= share:
+        if sum(map(len, mine)) + len(passage) <= symbols:
             mine.append(passage)
     return model
 
