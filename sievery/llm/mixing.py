@@ -38,8 +38,8 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...
     onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("ceiling").over(before), F.lit(0.0))) / F.sum("w").over(onward)
-    levels = ordered.withColumn("level", level)
-    fixed = F.min(F.when(F.col("level") * F.col("w") <= F.col("ceiling"), F.struct(F.col("ceiling") / F.col("w"), F.col("level").alias("level")))).over(everything)["level"]
+    levels = ordered.withColumn("level", level).withColumn("seat", F.row_number().over(by_ratio))
+    fixed = F.min(F.when(F.col("level") * F.col("w") <= F.col("ceiling"), F.struct("seat", F.col("level").alias("level")))).over(everything)["level"]
     target = F.least(F.col("ceiling"), F.coalesce(F.col("fixed") * F.col("w"), F.col("ceiling")))
     return levels.withColumn("fixed", fixed).select("source", "source_size", target.alias("target"))
 
@@ -94,11 +94,11 @@ WITH sized AS (
     1.5::DOUBLE * sum(source_size) OVER () AS everything
   FROM totals
 ), levels AS (
-  SELECT *, (everything - coalesce(sum(ceiling) OVER (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  SELECT *, row_number() OVER (ORDER BY ceiling / w, source NULLS LAST) AS seat, (everything - coalesce(sum(ceiling) OVER (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(w) OVER (ORDER BY ceiling / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed
 ), aims AS (
-  SELECT source, source_size, least(ceiling, coalesce((SELECT arg_min(level, ceiling / w) FROM levels WHERE level * w <= ceiling) * w, ceiling)) AS target FROM levels
+  SELECT source, source_size, least(ceiling, coalesce((SELECT arg_min(level, seat) FROM levels WHERE level * w <= ceiling) * w, ceiling)) AS target FROM levels
 ), ranked AS (
   SELECT s.doc_id, s.size, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0.0 END AS each,
     ('0x' || substr(md5('1|' || coalesce(s.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u,

@@ -6,6 +6,7 @@ import string
 from pyspark.sql import functions as F
 
 from sievery.llm import language_id as li
+from sievery.llm import mixing
 from sievery.llm import near_dedup as nd
 from sievery.llm import secrets_scan as ss
 
@@ -43,3 +44,13 @@ def test_four_hundred_languages(spark):
     some = [(i, "".join(r.choice(own[lang]) for _ in range(40)), lang) for i, lang in enumerate(sorted(own)[::40])]
     got = {x["doc_id"]: x["lang_pred"] for x in li.identify(spark.createDataFrame(some, "doc_id long, text string, lang string"), model).collect()}
     assert got == {i: lang for i, _, lang in some}
+
+
+def test_targets_of_equal_sources(spark):
+    """Sources with equal sizes and weights tie in the order in which the ceilings are met: they get equal targets, which sum to the share."""
+    sizes = spark.createDataFrame([(f"s{k}", 100) for k in range(9)] + [(None, 100)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes, 1.5, 2.0).collect()}
+    # ten sources weigh 5, 2, 1 in turn: four of weight 5 are full at 200, the other 700 go by weight to three of 2 and three of 1
+    weights = dict(zip([*(f"s{k}" for k in range(9)), None], [5, 2, 1] * 3 + [5], strict=True))
+    assert {s: round(t, 9) for s, t in got.items()} == {s: {5: 200.0, 2: round(1400 / 9, 9), 1: round(700 / 9, 9)}[w] for s, w in weights.items()}
+    assert abs(sum(got.values()) - 1500) < 1e-9
