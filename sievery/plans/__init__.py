@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import curated, evaluation, ordered, relational, search
+from . import curated, evaluation, ordered, quotas, relational, search
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curated", "evaluation", "ordered", "relational", "search"]
+__all__ = ["ORACLES", "QUERIES", "curated", "evaluation", "ordered", "quotas", "relational", "search"]
