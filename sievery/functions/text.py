@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,55 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def tokens_with_clitics(c: Column) -> Column:
+    """Lower-case words and numbers; an apostrophe joins what letters follow it."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
+
+
+def tokens_with_hyphens(c: Column) -> Column:
+    """Lower-case words and numbers, hyphens and apostrophes inside them included."""
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+(?:[-'][a-z0-9]+)*"), F.lit(0))
+
+
+def letter_tokens(c: Column) -> Column:
+    """Runs of letters, lower-cased."""
+    return F.transform(F.regexp_extract_all(c, F.lit("[a-zA-Z]+"), F.lit(0)), F.lower)
+
+
+def keywords(c: Column, vocabulary: list[str]) -> Column:
+    """The vocabulary's words among the text's tokens, and its phrases of several words anywhere in the text, sorted."""
+    single, several = [v for v in vocabulary if " " not in v], [v for v in vocabulary if " " in v]
+    found = F.array_intersect(tokens_with_hyphens(c), F.array(*map(F.lit, single)).cast("array<string>"))
+    phrases = F.filter(F.array(*map(F.lit, several)).cast("array<string>"), lambda v: F.contains(F.lower(c), v))
+    return F.array_sort(F.concat(found, phrases))
+
+
+def first_class(c: Column, classes: list[tuple[str, list[str]]], otherwise: tuple[str, str] = ("other", "general")) -> Column:
+    """struct(category, keyword) of the first token, in the text's order, that is a keyword of any class; a word of several classes counts for the first."""
+    of = {w: name for name, some in reversed(classes) for w in some}
+    table = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair])
+    first = F.get(F.filter(tokens_with_hyphens(c), lambda t: F.map_contains_key(table, t)), 0)
+    return F.struct(F.coalesce(F.element_at(table, first), F.lit(otherwise[0])).alias("category"), F.coalesce(first, F.lit(otherwise[1])).alias("keyword"))
+
+
+def drawn(pool: list[str], seed: str, *parts: Column | str) -> Column:
+    """One of the pool, by the MD5 of seed and parts: the same in any engine."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*map(F.lit, pool)), (number % len(pool) + 1).cast("int"))
+
+
+def filled_template(template: str, pools: dict[str, list[str]], seed: str, key: Column) -> Column:
+    """The template with each {slot} replaced by a draw from its pool; a slot's second occurrence draws anew."""
+    parts, seen = [], {}
+    for k, piece in enumerate(re.split(r"[{}]", template)):
+        if k % 2:
+            seen[piece] = seen.get(piece, 0) + 1
+            parts.append(drawn(pools[piece], seed, f"{piece}{seen[piece]}", key))
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, "[ \t\n\r]+"), lambda w: w != ""))
 

@@ -82,3 +82,9 @@ def image_path(item_id: Column, width: int = 10) -> Column:
     """A zero-padded id's file below its first three characters."""
     padded = F.lpad(item_id.cast("string"), width, "0")
     return F.concat_ws("/", F.substring(padded, 1, 3), F.concat(padded, F.lit(".jpg")))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system Spark reads it from."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievery.operators.places import binned, numbered
+from sievery.sources.tables import exists
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -269,8 +270,3 @@ def run_until(stream: DataFrame, out: str, checkpoint: str, keep: Column, order:
             query.stop()
     examined, written = so_far(spark)
     return {"examined": int(examined), "written": int(written)}
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
