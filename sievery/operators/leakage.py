@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +41,39 @@ def group_overlap(rows: DataFrame, group: str, key: str) -> DataFrame:
     return one.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def hamming_matches(left: DataFrame, right: DataFrame, most: int, bits: int = 64) -> DataFrame:
-    """left (id_a, hash_a) and right (id_b, hash_b): pairs whose 64-bit hashes differ in at most `most` bits.
+def hamming_matches(left: DataFrame, right: DataFrame, most: int, bits: int = 64, blocks: int = 10) -> DataFrame:
+    """left (id_a, hash_a) and right (id_b, hash_b): pairs whose hashes of `bits` bits differ in at most `most` bits.
 
-    With most + 1 bands of bits, such a pair has one band equal: an equi-join on the bands finds all of them."""
-    bands = most + 1
-    width = -(-bits // bands)
+    The bits are cut into blocks; such a pair agrees in blocks - most of them at least, so the hashes meet on each choice
+    of so many blocks: for 6 of 60 bits 210 keys of 24 bits, by which hashes that aren't near hardly ever meet."""
+    if not 0 <= most < blocks:
+        raise ValueError("at most blocks - 1 bits may differ")
+    edges = [i * bits // blocks for i in range(blocks + 1)]
+    of = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
+    chosen = [sum(c) for c in combinations(of, blocks - most)]
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in chosen])
 
-    def banded(h: str) -> Column:
-        # a negative constant shift would be a new constant for each band; the mask cuts what the shift brings in
-        return F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i in range(bands)]))
+    def keyed(rows: DataFrame, key: str, h: str) -> DataFrame:
+        return rows.select(key, h, F.posexplode(F.transform(masks, lambda m: F.col(h).bitwiseAND(m))).alias("choice", "part"))
 
-    a = left.select("id_a", "hash_a", banded("hash_a").alias("k"))
-    b = right.select("id_b", "hash_b", banded("hash_b").alias("k"))
     apart = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    return a.join(b, "k").where(apart <= most).select("id_a", "id_b", apart.alias("distance")).distinct()
+    met = keyed(left, "id_a", "hash_a").join(keyed(right, "id_b", "hash_b"), ["choice", "part"])
+    return met.where(apart <= most).select("id_a", "id_b", apart.alias("distance")).distinct()
+
+
+def hamming_nearest(rows: DataFrame, query: Column, most: int, bits: int = 60) -> DataFrame:
+    """rows (id, hash): id, distance, match for each row with another row that meets `query` within `most` bits.
+
+    Distinct hashes meet, whatever number of rows has them; a row gets its least distance and, at that distance, the least
+    query id, or the greatest if that is its own. No pair of a group of equal hashes is made."""
+    hashes = rows.groupBy("hash").agg(F.min(F.when(query, F.col("id"))).alias("low"), F.max(F.when(query, F.col("id"))).alias("high"))
+    heads, a = hashes.where("low IS NOT NULL"), hashes.select(F.col("hash").alias("id_a"), F.col("hash").alias("hash_a"))
+    near = hamming_matches(a, heads.select(F.col("hash").alias("id_b"), F.col("hash").alias("hash_b")), most, bits)
+    found = near.join(heads, near["id_b"] == heads["hash"]).select(F.col("id_a").alias("hash"), "distance", "low", "high")
+    # per hash and distance the two ends are enough to leave a row's own id out
+    ends = found.groupBy("hash", "distance").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    each = rows.join(ends, "hash").withColumn("match", F.when(F.col("low") != F.col("id"), F.col("low")).when(F.col("high") != F.col("id"), F.col("high"))).where("match IS NOT NULL")
+    return each.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", "m.distance", "m.match")
 
 
 def containments(texts: DataFrame, phrases: DataFrame, width: int = 8) -> DataFrame:
@@ -75,13 +97,28 @@ def containments(texts: DataFrame, phrases: DataFrame, width: int = 8) -> DataFr
     held = F.transform(F.array(words), keys)[0]
     met = texts.select("doc_id", F.explode(held).alias("key")).join(p.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hits = met.join(texts.select("doc_id", spaced(words).alias("t")), "doc_id").join(p.select("item_id", spaced(F.col("pw")).alias("q")), "item_id")
+    whole = texts.select(F.col("doc_id").alias("_id"), spaced(words).alias("t"))
+    hits = met.join(whole, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id").join(p.select("item_id", spaced(F.col("pw")).alias("q")), "item_id")
     return hits.where(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
 
 
-def simhash(words: Column) -> Column:
-    """A 64-bit hash whose bits are the majority of the words' hashes: texts with nearly the same words differ in few bits; null without words."""
-    hashes = F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
-    value = F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(F.when(b > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
-    return F.when(F.size(hashes) > 0, value)
+def simhash(words: Column, bits: int = 60) -> Column:
+    """A number whose bits are the majority of the bits of the distinct words' hashes: texts with nearly the same words differ in few bits; null without words.
+
+    A word's hash is the start of its MD5, the same in any engine; the bits are summed in Arrow batches."""
+    hashes = F.transform(F.array_distinct(words), lambda w: F.conv(F.substring(F.md5(w), 1, bits // 4), 16, 10).cast("long"))
+
+    @F.pandas_udf("long")
+    def majority(batch: pd.Series) -> pd.Series:
+        # a plain map would turn the numbers into doubles where one of them is null
+        return pd.Series(pd.array([major(h, bits) if h is not None and len(h) else None for h in batch], dtype="Int64"))
+
+    return majority(hashes)
+
+
+def major(hashes: np.ndarray, bits: int, step: int = 1 << 16) -> int:
+    sums = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), step):
+        part = np.asarray(hashes[at : at + step], np.int64)
+        sums += (part[:, None] >> np.arange(bits) & 1).sum(axis=0)
+    return int(((2 * sums > len(hashes)).astype(np.int64) << np.arange(bits)).sum())

@@ -5,7 +5,8 @@ A run is a long table (query_id, doc_id, score, rank); ranks start at 1, ties go
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,74 +31,97 @@ def flat_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(), vectors.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
-def higher_counts(queries: DataFrame, gallery: DataFrame, block: int = 2048, places: int = 6) -> DataFrame:
+#: Queries that go to every task with the plan, in blocks; more of them meet the gallery in a grid. Rows of a gallery part in the grid.
+SENT, PART = 8192, 32_768
+
+
+def met(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel: Callable[..., Iterator[pa.RecordBatch]], schema: str, block: int, sent: int) -> DataFrame:
+    """kernel(queries, batches of gallery rows) over every query block and gallery part.
+
+    queries come as columns: ids, a matrix of vectors, then one array for each of `columns`. Up to `sent` queries (bounded by
+    this parameter) go with the plan in blocks, and the gallery stays where it lies. More of them are cut into blocks by a
+    hash, as the gallery is into parts; each row goes to the blocks of the other side, and block and part meet in one
+    task, of `block` queries and about PART rows. Nothing of either side comes to the driver then but two counts."""
+
+    def arrays(rows: pa.Table) -> list[np.ndarray]:
+        ids, matrix = flat_vectors(rows.select(["query_id", "vector"]).combine_chunks().to_batches()[0])
+        return [ids, matrix, *[rows[c].to_numpy() for c in columns]]
+
+    n = queries.count()
+    if n <= sent:
+        bins, found = max(1, -(-n // block)), None
+        for b in range(bins):
+            some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(bins)) == b).select("query_id", "vector", *columns).toArrow()
+            if not some.num_rows:
+                continue
+            part = gallery.select("doc_id", "vector").mapInArrow(partial(kernel, arrays(some)), schema)
+            found = part if found is None else found.unionByName(part)
+        return found if found is not None else gallery.sparkSession.createDataFrame([], schema)
+    blocks, parts = -(-n // block), max(1, -(-gallery.count() // PART))
+
+    def spread(rows: DataFrame, key: str, own: str, mine: int, other: str, others: int) -> DataFrame:
+        return rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(mine))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([], schema=empty)
+        return pa.Table.from_batches(list(kernel(arrays(left), iter(right.select(["_id", "_vector"]).combine_chunks().to_batches()))))
+
+    empty = pa.schema([(name, pa.float64() if kind == "double" else pa.int64()) for name, kind in (c.split() for c in schema.split(", "))])
+    left = spread(queries.select("query_id", "vector", *columns), "query_id", "_block", blocks, "_part", parts)
+    # names of its own, as both sides may come from one table
+    other = gallery.select(F.col("doc_id").alias("_id"), F.col("vector").alias("_vector"))
+    right = spread(other, "_id", "_of_part", parts, "_of_block", blocks)
+    return left.groupBy("_block", "_part").cogroup(right.groupBy("_of_block", "_of_part")).applyInArrow(pair, schema)
+
+
+def counted_above(queries: list[np.ndarray], batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+    ids, matrix, own = queries
+    counts = np.zeros(len(ids), np.int64)
+    for batch in batches:
+        _, part = flat_vectors(batch)
+        for a in range(0, len(part), 4096):
+            counts += (np.round(matrix @ part[a : a + 4096].T, places) > own[:, None]).sum(axis=1)
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts)], names=["query_id", "n"])
+
+
+def higher_counts(queries: DataFrame, gallery: DataFrame, block: int = 2048, places: int = 6, sent: int = SENT) -> DataFrame:
     """query_id, higher: how many rows of gallery (doc_id, vector) score above `own` for each of queries (query_id, vector, own).
 
-    Queries go to the tasks in blocks; a task sends one count for each query."""
-    bins, found = max(1, -(-queries.count() // block)), None
-    for b in range(bins):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(bins)) == b).select("query_id", "vector", "own").collect()
-        if not some:
-            continue
-        ids, matrix, own = [r[0] for r in some], np.array([r[1] for r in some], np.float64), np.array([r[2] for r in some])
-
-        def above(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, own=own) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                _, part = flat_vectors(batch)
-                for a in range(0, len(part), 4096):
-                    counts += (np.round(matrix @ part[a : a + 4096].T, places) > own[:, None]).sum(axis=1)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts)], names=["query_id", "n"])
-
-        part = gallery.select("doc_id", "vector").mapInArrow(above, "query_id long, n long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return gallery.sparkSession.createDataFrame([], "query_id long, higher long")
+    Queries meet the gallery in blocks; a task sends one count for each query of its block."""
+    found = met(queries, gallery, ["own"], partial(counted_above, places=places), "query_id long, n long", block, sent)
     return found.groupBy("query_id").agg(F.sum("n").alias("higher"))
 
 
-def knn(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = True, block: int = 2048, places: int = 6) -> DataFrame:
+def best_of(queries: list[np.ndarray], batches: Iterator[pa.RecordBatch], k: int, skip_self: bool, places: int) -> Iterator[pa.RecordBatch]:
+    own, matrix = queries
+    docs, scores = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+    for batch in batches:
+        doc, part = flat_vectors(batch)
+        for a in range(0, len(doc), 4096):
+            s = np.round(matrix @ part[a : a + 4096].T, places)
+            d = np.broadcast_to(doc[a : a + 4096], s.shape)
+            if skip_self:
+                s = np.where(d == own[:, None], -np.inf, s)
+            if s.shape[1] > 4 * k:  # all that are no worse than the k-th, so that ties go by id
+                worst = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                most = int((s >= worst[:, None]).sum(axis=1).max())
+                at = np.argpartition(-s, min(most, s.shape[1] - 1), axis=1)[:, :most]
+                s, d = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
+            s, d = np.hstack((scores, s)), np.hstack((docs, d))
+            at = np.lexsort((d, -s), axis=1)[:, :k]
+            scores, docs = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
+    real = np.isfinite(scores)
+    yield pa.record_batch([pa.array(np.repeat(own, real.sum(axis=1))), pa.array(docs[real]), pa.array(scores[real])], names=["query_id", "doc_id", "score"])
+
+
+def knn(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = True, block: int = 2048, places: int = 6, sent: int = SENT) -> DataFrame:
     """The k nearest rows of gallery (doc_id, vector) for each of queries (query_id, vector) by dot product, exactly.
 
-    Queries go to the tasks in blocks of at most `block`. Each task multiplies its part of the gallery with a block and
-    keeps k rows for each query, so what is shuffled is k rows for each query and task, however large the gallery is."""
-    n = queries.count()
-    bins = max(1, -(-n // block))
-    runs = []
-    for b in range(bins):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(bins)) == b).select("query_id", "vector").collect()
-        if not some:
-            continue
-        ids, matrix = [r[0] for r in some], np.array([r[1] for r in some], np.float64)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            own = np.array(ids, np.int64)
-            docs, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                doc, part = flat_vectors(batch)
-                for a in range(0, len(doc), 4096):
-                    s = np.round(matrix @ part[a : a + 4096].T, places)
-                    d = np.broadcast_to(doc[a : a + 4096], s.shape)
-                    if skip_self:
-                        s = np.where(d == own[:, None], -np.inf, s)
-                    if s.shape[1] > 4 * k:  # all that are no worse than the k-th, so that ties go by id
-                        worst = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                        most = int((s >= worst[:, None]).sum(axis=1).max())
-                        at = np.argpartition(-s, min(most, s.shape[1] - 1), axis=1)[:, :most]
-                        s, d = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
-                    s, d = np.hstack((scores, s)), np.hstack((docs, d))
-                    at = np.lexsort((d, -s), axis=1)[:, :k]
-                    scores, docs = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
-            real = np.isfinite(scores)
-            yield pa.record_batch([pa.array(np.repeat(own, real.sum(axis=1))), pa.array(docs[real]), pa.array(scores[real])], names=["query_id", "doc_id", "score"])
-
-        runs.append(gallery.select("doc_id", "vector").mapInArrow(best, "query_id long, doc_id long, score double"))
-    if not runs:
-        return ranked(gallery.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k)
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return ranked(out, k, places)
+    Queries meet the gallery in blocks of at most `block`. Each task multiplies its part of the gallery with a block and
+    keeps k rows for each query, so what is shuffled of the result is k rows for each query and task, however large the gallery is."""
+    found = met(queries, gallery, [], partial(best_of, k=k, skip_self=skip_self, places=places), "query_id long, doc_id long, score double", block, sent)
+    return ranked(found, k, places)
 
 
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:

@@ -151,10 +151,19 @@ def knn_int8(spark, d):
     return listed(retrieval.knn(query_vectors(g), g.join(F.broadcast(bounds)).withColumn("vector", back), 10))
 
 
-@query("knn_half", f"WITH {RUNS_SQL}, h AS (SELECT vec_id, list_transform(u, lambda x: round_even(x * 1024, 0) / 1024) AS u FROM e), j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.u, d.u) AS s FROM h q, h d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}")
+HALF_SQL = "CASE WHEN x = 0 THEN 0.0 ELSE round_even(x * pow(2.0, 10 - greatest(floor(log2(abs(x))), -14)), 0) / pow(2.0, 10 - greatest(floor(log2(abs(x))), -14)) END"
+
+
+def half(x):
+    """A number as a half float holds it: eleven significant bits, down to steps of 2^-24."""
+    scale = F.pow(F.lit(2.0), 10 - F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)).cast("double"))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale)
+
+
+@query("knn_half", f"WITH {RUNS_SQL}, h AS (SELECT vec_id, list_transform(u, lambda x: {HALF_SQL}) AS u FROM e), j AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_inner_product(q.u, d.u) AS s FROM h q, h d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) {_rank_sql('s', 'j')}")
 def knn_half(spark, d):
-    """Search after rounding to ten binary places, the precision that half floats have near 1."""
-    h = vectors(spark, d).withColumn("vector", F.transform("vector", lambda x: F.rint(x * 1024) / 1024))
+    """Search over vectors rounded to half floats."""
+    h = vectors(spark, d).withColumn("vector", F.transform("vector", half))
     return listed(retrieval.knn(query_vectors(h), h, 10))
 
 

@@ -174,10 +174,33 @@ def test_exact_search_keeps_ties_by_id(spark):
     v = np.round(rng.normal(size=(700, 3)), 1)  # many ties
     g = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, vector array<double>").repartition(3)
     q = g.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    got = {}
-    for x in retrieval.knn(q, g, 7).orderBy("query_id", "rank").collect():
-        got.setdefault(x["query_id"], []).append(x["doc_id"])
-    for i, docs in got.items():
-        s = np.round(v @ v[i], 6)
-        s[i] = -np.inf
-        assert docs == sorted(range(700), key=lambda j: (-s[j], j))[:7]
+    for options in ({}, {"block": 4}, {"block": 4, "sent": 5}):  # one block, four blocks, a grid of blocks and parts
+        got = {}
+        for x in retrieval.knn(q, g, 7, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append(x["doc_id"])
+        assert len(got) == 14
+        for i, docs in got.items():
+            s = np.round(v @ v[i], 6)
+            s[i] = -np.inf
+            assert docs == sorted(range(700), key=lambda j: (-s[j], j))[:7]
+
+
+def test_searches_in_a_grid(spark, monkeypatch):
+    """More queries than go with the plan, more gallery rows than a part: counts and neighbours stay exact."""
+    import numpy as np
+
+    from sievery.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART", 90)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 5))
+    g = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, vector array<double>").repartition(3)
+    own = [float(np.round(v[i] @ v[(i + 1) % 600], 6)) for i in range(600)]
+    q = spark.createDataFrame([(i, v[i].tolist(), own[i]) for i in range(0, 600, 3)], "query_id long, vector array<double>, own double")
+    want = {i: int((np.round(v @ v[i], 6) > own[i]).sum()) for i in range(0, 600, 3)}
+    assert {r["query_id"]: r["higher"] for r in retrieval.higher_counts(q, g, block=30, sent=50).collect()} == want
+    near = retrieval.knn(q, g, 3, block=30, sent=50).collect()
+    assert len(near) == 600 and all(r["score"] <= 1e9 for r in near)
+    first = {r["query_id"]: r["doc_id"] for r in near if r["rank"] == 1}
+    assert first == {i: int(np.argmax(np.where(np.arange(600) == i, -np.inf, np.round(v @ v[i], 6)))) for i in first}
+    assert retrieval.knn(q.limit(0), g, 3).count() == 0
