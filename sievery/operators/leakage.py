@@ -122,3 +122,21 @@ def major(hashes: np.ndarray, bits: int, step: int = 1 << 16) -> int:
         part = np.asarray(hashes[at : at + step], np.int64)
         sums += (part[:, None] >> np.arange(bits) & 1).sum(axis=0)
     return int(((2 * sums > len(hashes)).astype(np.int64) << np.arange(bits)).sum())
+
+
+def leaks(mined: DataFrame, held_out: DataFrame) -> DataFrame:
+    """doc_id, by_id, by_text of the mined rows (doc_id, digest) whose id or text digest a held-out row has.
+
+    Two equi-joins with the distinct ids and digests; a null id or digest leaks nothing."""
+    ids = held_out.select(F.col("doc_id").alias("_id")).distinct()
+    texts = held_out.select(F.col("digest").alias("_text")).distinct()
+    both = mined.join(ids, mined["doc_id"] == ids["_id"], "left").join(texts, mined["digest"] == texts["_text"], "left")
+    flags = both.groupBy("doc_id").agg(F.max(F.col("_id").isNotNull()).alias("by_id"), F.max(F.col("_text").isNotNull()).alias("by_text"))
+    return flags.where("by_id OR by_text")
+
+
+def require_clean(mined: DataFrame, held_out: DataFrame) -> None:
+    """Raises with up to five examples if a mined row leaks."""
+    found = [tuple(r) for r in leaks(mined, held_out).limit(5).collect()]
+    if found:
+        raise ValueError(f"mined queries leak, for example {found}")

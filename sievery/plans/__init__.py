@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from . import curated, evaluation, labelling, ordered, quotas, relational, search
+from . import benchmarks, curated, evaluation, labelling, ordered, quotas, relational, search
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "curated", "evaluation", "labelling", "ordered", "quotas", "relational", "search"]
+__all__ = ["ORACLES", "QUERIES", "benchmarks", "curated", "evaluation", "labelling", "ordered", "quotas", "relational", "search"]
