@@ -57,3 +57,13 @@ def signs(v: Column) -> Column:
 def mismatches(a: Column, b: Column) -> Column:
     """The Hamming distance of two arrays of bits."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.lit(1))), F.lit(0), lambda s, x: s + x)
+
+
+def packed_signs(v: Column) -> Column:
+    """The sign bits of a vector as longs of 64 bits each, the first component in the lowest bit: an eighth of a byte a dimension."""
+    word = lambda w: F.aggregate(
+        F.transform(F.slice(v, w * 64 + 1, F.lit(64)), lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+        F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b),
+    )
+    words = F.ceil(F.size(v) / 64).cast("int")
+    return F.when(words > 0, F.transform(F.sequence(F.lit(0), words - 1), lambda w: word(w))).otherwise(F.expr("cast(array() as array<long>)"))

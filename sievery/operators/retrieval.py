@@ -25,17 +25,17 @@ def ranked(scored: DataFrame, k: int | None = None, places: int = 6) -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def flat_vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def flat_vectors(batch: pa.RecordBatch, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray]:
     """The ids and vectors (of one length) of an Arrow batch, without a Python object for each number."""
     vectors = batch.column(1)
-    return batch.column(0).to_numpy(), vectors.flatten().to_numpy().astype(np.float64, copy=False).reshape(len(vectors), -1)
+    return batch.column(0).to_numpy(), vectors.flatten().to_numpy().astype(kind, copy=False).reshape(len(vectors), -1)
 
 
 #: Queries that go to every task with the plan, in blocks; more of them meet the gallery in a grid. Rows of a gallery part in the grid.
 SENT, PART = 8192, 32_768
 
 
-def met(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel: Callable[..., Iterator[pa.RecordBatch]], schema: str, block: int, sent: int) -> DataFrame:
+def met(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel: Callable[..., Iterator[pa.RecordBatch]], schema: str, block: int, sent: int, kind: type = np.float64) -> DataFrame:
     """kernel(queries, batches of gallery rows) over every query block and gallery part.
 
     queries come as columns: ids, a matrix of vectors, then one array for each of `columns`. Up to `sent` queries (bounded by
@@ -44,7 +44,7 @@ def met(queries: DataFrame, gallery: DataFrame, columns: list[str], kernel: Call
     task, of `block` queries and about PART rows. Nothing of either side comes to the driver then but two counts."""
 
     def arrays(rows: pa.Table) -> list[np.ndarray]:
-        ids, matrix = flat_vectors(rows.select(["query_id", "vector"]).combine_chunks().to_batches()[0])
+        ids, matrix = flat_vectors(rows.select(["query_id", "vector"]).combine_chunks().to_batches()[0], kind)
         return [ids, matrix, *[rows[c].to_numpy() for c in columns]]
 
     n = queries.count()
@@ -93,14 +93,26 @@ def higher_counts(queries: DataFrame, gallery: DataFrame, block: int = 2048, pla
     return found.groupBy("query_id").agg(F.sum("n").alias("higher"))
 
 
-def best_of(queries: list[np.ndarray], batches: Iterator[pa.RecordBatch], k: int, skip_self: bool, places: int) -> Iterator[pa.RecordBatch]:
+def products(queries: np.ndarray, part: np.ndarray, places: int) -> np.ndarray:
+    return np.round(queries @ part.T, places)
+
+
+def agreeing_signs(queries: np.ndarray, part: np.ndarray, dims: int) -> np.ndarray:
+    """The dot product of vectors of +1 and -1 from their packed signs: dims less twice the bits that differ."""
+    apart = np.zeros((len(queries), len(part)), np.int32)
+    for w in range(queries.shape[1]):
+        apart += np.bitwise_count(queries[:, w, None] ^ part[None, :, w])
+    return (dims - 2 * apart).astype(np.float64)
+
+
+def best_of(queries: list[np.ndarray], batches: Iterator[pa.RecordBatch], k: int, skip_self: bool, product: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type = np.float64, step: int = 4096) -> Iterator[pa.RecordBatch]:
     own, matrix = queries
     docs, scores = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
     for batch in batches:
-        doc, part = flat_vectors(batch)
-        for a in range(0, len(doc), 4096):
-            s = np.round(matrix @ part[a : a + 4096].T, places)
-            d = np.broadcast_to(doc[a : a + 4096], s.shape)
+        doc, part = flat_vectors(batch, kind)
+        for a in range(0, len(doc), step):
+            s = product(matrix, part[a : a + step])
+            d = np.broadcast_to(doc[a : a + step], s.shape)
             if skip_self:
                 s = np.where(d == own[:, None], -np.inf, s)
             if s.shape[1] > 4 * k:  # all that are no worse than the k-th, so that ties go by id
@@ -120,10 +132,16 @@ def knn(queries: DataFrame, gallery: DataFrame, k: int, skip_self: bool = True,
 
     Queries meet the gallery in blocks of at most `block`. Each task multiplies its part of the gallery with a block and
     keeps k rows for each query, so what is shuffled of the result is k rows for each query and task, however large the gallery is."""
-    found = met(queries, gallery, [], partial(best_of, k=k, skip_self=skip_self, places=places), "query_id long, doc_id long, score double", block, sent)
+    found = met(queries, gallery, [], partial(best_of, k=k, skip_self=skip_self, product=partial(products, places=places)), "query_id long, doc_id long, score double", block, sent)
     return ranked(found, k, places)
 
 
+def knn_signs(queries: DataFrame, gallery: DataFrame, dims: int, k: int, skip_self: bool = True, block: int = 1024, sent: int = SENT) -> DataFrame:
+    """The k nearest rows by sign bits: vectors are arrays of longs, as packed_signs() makes them, compared by exclusive or and bit counts."""
+    kernel = partial(best_of, k=k, skip_self=skip_self, product=partial(agreeing_signs, dims=dims), kind=np.uint64, step=2048)  # a bit count of a signed number would be that of its absolute value
+    return ranked(met(queries, gallery, [], kernel, "query_id long, doc_id long, score double", block, sent, np.uint64), k)
+
+
 def sparse_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """queries (query_id, term, weight) and postings (doc_id, term, weight): top k by the dot product; only positive scores."""
     q = queries.select("query_id", "term", F.col("weight").alias("qw"))

@@ -204,3 +204,29 @@ def test_searches_in_a_grid(spark, monkeypatch):
     first = {r["query_id"]: r["doc_id"] for r in near if r["rank"] == 1}
     assert first == {i: int(np.argmax(np.where(np.arange(600) == i, -np.inf, np.round(v @ v[i], 6)))) for i in first}
     assert retrieval.knn(q.limit(0), g, 3).count() == 0
+
+
+def test_packed_signs(spark):
+    """Bits and searches of 3, 64 and 100 dimensions, in blocks and in a grid."""
+    import numpy as np
+
+    from sievery.functions.vectors import packed_signs
+    from sievery.operators import retrieval
+
+    rng = np.random.default_rng(8)
+    for dims in (3, 64, 100):
+        v = rng.normal(size=(150, dims))
+        v[0] = 0.0
+        g = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, vector array<double>").withColumn("vector", packed_signs(F.col("vector")))
+        bits = {r["doc_id"]: r["vector"] for r in g.collect()}
+        for i in (0, 7):
+            flat = [(w >> b) & 1 for w in bits[i] for b in range(64)]
+            assert flat[:dims] == (v[i] >= 0).astype(int).tolist() and not any(flat[dims:])
+        s = np.where(v >= 0, 1, -1) @ np.where(v >= 0, 1, -1).T
+        q = g.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+        for options in ({}, {"block": 4, "sent": 5}):
+            got = {}
+            for x in retrieval.knn_signs(q, g, dims, 5, **options).orderBy("query_id", "rank").collect():
+                got.setdefault(x["query_id"], []).append((x["doc_id"], x["score"]))
+            for i, found in got.items():
+                assert found == [(j, float(s[i, j])) for j in sorted((j for j in range(150) if j != i), key=lambda j: (-s[i, j], j))[:5]]
