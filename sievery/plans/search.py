@@ -182,23 +182,24 @@ bf AS (SELECT query_id, doc_id, max(s) + 0.3 * (sum(s) - max(s)) AS score FROM f
 """
 
 
-
-
-def _parts(spark, d):
-    p = table(spark, d, "part")
-    q = p.where(F.col("p_partkey") % 50 == 0)
-    terms = retrieval.query_terms(q, "p_partkey", F.concat_ws(" ", "p_name", "p_type"))
-    base = retrieval.best_fields(terms, p, "p_partkey", [(F.col("p_name"), 4.0), (F.col("p_type"), 3.0), (F.col("p_brand"), 2.0)])
-    return p, q, base
-
-
-def _same_brand(p, q, boost):
-    return q.select(F.col("p_partkey").alias("query_id"), "p_brand").join(p.select(F.col("p_partkey").alias("doc_id"), "p_brand"), "p_brand").select("query_id", "doc_id", F.lit(boost).alias("boost"))
+def _parts(spark, d, alike=None, boost=1.0, k=10):
+    """Parts equal in name, type and brand are scored once, as are queries that ask the same."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type", "p_brand")
+    asked = p.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
+    queries, q_of = retrieval.grouped(asked, "query_id", ["p_name", "p_type", *["p_brand"] * bool(alike)], None)
+    docs, d_of = retrieval.grouped(p, "doc_id", ["p_name", "p_type", "p_brand"], k)
+    brand = F.col("p_brand") if alike else F.lit(None).cast("string")
+    words = tokens(F.concat("p_name", F.lit(" "), "p_type"))
+    found = retrieval.bm25_topk(
+        queries.select("query_id", brand.alias("attribute"), words.alias("words")), docs.select("doc_id", "n", brand.alias("attribute"), *[tokens(F.col(c)).alias(f"words_{f}") for f, c in enumerate(("p_name", "p_type", "p_brand"))]),
+        [4.0, 3.0, 2.0], k, alike=alike, boost=boost,
+    )
+    return listed(retrieval.expanded(found.drop("rank"), q_of, d_of, k))
 
 
 @query("bm25_fielded_best_fields", f"WITH {PARTS_SQL} {_rank_sql('score', 'bf')}")
 def bm25_fielded(spark, d):
-    return listed(retrieval.ranked(_parts(spark, d)[2], 10))
+    return _parts(spark, d)
 
 
 BRAND_SQL = "brand AS (SELECT q.p_partkey AS query_id, x.p_partkey AS doc_id FROM part q JOIN part x USING (p_brand) WHERE q.p_partkey % 50 = 0)"
@@ -206,14 +207,12 @@ BRAND_SQL = "brand AS (SELECT q.p_partkey AS query_id, x.p_partkey AS doc_id FRO
 
 @query("bm25_bool_should", f"WITH {PARTS_SQL}, {BRAND_SQL}, j AS (SELECT bf.*, CASE WHEN brand.doc_id IS NULL THEN 0.0 ELSE 2.0 END AS x FROM bf LEFT JOIN brand USING (query_id, doc_id)) {_rank_sql('score + x', 'j')}")
 def bm25_should(spark, d):
-    p, q, base = _parts(spark, d)
-    return listed(retrieval.ranked(retrieval.with_should(base, _same_brand(p, q, 2.0)), 10))
+    return _parts(spark, d, "should", 2.0)
 
 
 @query("bm25_function_score", f"WITH {PARTS_SQL}, {BRAND_SQL}, j AS (SELECT bf.*, CASE WHEN brand.doc_id IS NULL THEN 1.0 ELSE 1.5 END AS x FROM bf LEFT JOIN brand USING (query_id, doc_id)) {_rank_sql('score * x', 'j')}")
 def bm25_function(spark, d):
-    p, q, base = _parts(spark, d)
-    return listed(retrieval.ranked(retrieval.with_functions(base, _same_brand(p, q, 1.5)), 10))
+    return _parts(spark, d, "function", 1.5)
 
 
 @query("bm25", """WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
@@ -223,8 +222,10 @@ r AS (SELECT q.query_id, p.doc_id, sum(q.qtf * ln(1 + ((SELECT count(*) FROM doc
   FROM qt q JOIN post p ON p.term = q.term JOIN dfs d ON d.term = p.term JOIN lens l ON l.doc_id = p.doc_id GROUP BY q.query_id, p.doc_id) """ + _rank_sql("score", "r"))
 def bm25(spark, d):
     """Benchmark passages against all documents."""
-    terms = retrieval.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return listed(retrieval.ranked(retrieval.bm25_scores(terms, table(spark, d, "documents"), "doc_id", F.col("text")), 10))
+    none = F.lit(None).cast("string").alias("attribute")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), none, tokens(F.col("text")).alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("n"), none, tokens(F.col("text")).alias("words_0"))
+    return listed(retrieval.bm25_topk(queries, docs, [1.0], 10))
 
 
 @query("sparse_dot", f"WITH {RUNS_SQL}, p AS (SELECT vec_id, i AS term, u[i] AS w FROM e, range(1, 65) t(i) WHERE u[i] > 0.1), r AS (SELECT q.vec_id AS query_id, x.vec_id AS doc_id, sum(q.w * x.w) AS score FROM p q JOIN p x ON q.term = x.term WHERE q.vec_id % 50 = 0 GROUP BY ALL) {_rank_sql('score', 'r')}")
