@@ -57,7 +57,8 @@ def hamming_matches(left: DataFrame, right: DataFrame, most: int, bits: int = 64
         return rows.select(key, h, F.posexplode(F.transform(masks, lambda m: F.col(h).bitwiseAND(m))).alias("choice", "part"))
 
     apart = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    met = keyed(left, "id_a", "hash_a").join(keyed(right, "id_b", "hash_b"), ["choice", "part"])
+    # Spark's estimate doesn't know that each row becomes as many as there are choices: left to itself, it broadcasts them
+    met = keyed(left, "id_a", "hash_a").join(keyed(right, "id_b", "hash_b").hint("shuffle_hash"), ["choice", "part"])
     return met.where(apart <= most).select("id_a", "id_b", apart.alias("distance")).distinct()
 
 
@@ -65,14 +66,15 @@ def hamming_nearest(rows: DataFrame, query: Column, most: int, bits: int = 60) -
     """rows (id, hash): id, distance, match for each row with another row that meets `query` within `most` bits.
 
     Distinct hashes meet, whatever number of rows has them; a row gets its least distance and, at that distance, the least
-    query id, or the greatest if that is its own. No pair of a group of equal hashes is made."""
+    query id, or the greatest if that is its own. No pair of a group of equal hashes is made, and nothing is broadcast.
+    rows are read several times: they should be persisted."""
     hashes = rows.groupBy("hash").agg(F.min(F.when(query, F.col("id"))).alias("low"), F.max(F.when(query, F.col("id"))).alias("high"))
     heads, a = hashes.where("low IS NOT NULL"), hashes.select(F.col("hash").alias("id_a"), F.col("hash").alias("hash_a"))
     near = hamming_matches(a, heads.select(F.col("hash").alias("id_b"), F.col("hash").alias("hash_b")), most, bits)
-    found = near.join(heads, near["id_b"] == heads["hash"]).select(F.col("id_a").alias("hash"), "distance", "low", "high")
+    found = near.join(heads.hint("merge"), near["id_b"] == heads["hash"]).select(F.col("id_a").alias("hash"), "distance", "low", "high")
     # per hash and distance the two ends are enough to leave a row's own id out
     ends = found.groupBy("hash", "distance").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    each = rows.join(ends, "hash").withColumn("match", F.when(F.col("low") != F.col("id"), F.col("low")).when(F.col("high") != F.col("id"), F.col("high"))).where("match IS NOT NULL")
+    each = rows.join(ends.hint("merge"), "hash").withColumn("match", F.when(F.col("low") != F.col("id"), F.col("low")).when(F.col("high") != F.col("id"), F.col("high"))).where("match IS NOT NULL")
     return each.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("m")).select("id", "m.distance", "m.match")
 
 

@@ -35,3 +35,9 @@ def test_containments_keep_null_ids(spark):
     texts = spark.createDataFrame([(None, "the quick brown fox jumps"), (1, "nothing"), (None, "elsewhere")], "doc_id long, text string")
     phrases = spark.createDataFrame([(7, "quick brown fox")], "item_id long, phrase string")
     assert [tuple(x) for x in leakage.containments(texts, phrases).collect()] == [(None, 7)]
+
+
+def test_choices_are_not_broadcast(spark):
+    rows = spark.range(300).select("id", F.xxhash64("id").bitwiseAND((1 << 60) - 1).alias("hash"))
+    plan = leakage.hamming_nearest(rows, F.col("id") % 50 == 0, 6)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
