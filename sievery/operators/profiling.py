@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievery.functions.text import token_bigrams, tokens, word_count
+from sievery.functions.text import tokens, word_count
 
 from .places import binned
+from .retrieval import BATCH
 
 
 def text_profile(rows: DataFrame, text: Column) -> DataFrame:
@@ -36,9 +43,35 @@ def frequencies(rows: DataFrame, value: Column, top: int) -> DataFrame:
     return rows.groupBy(value.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(top)
 
 
+def counted_pairs(batches: Iterator[pa.RecordBatch], step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """value, n: the pairs of neighbours in the lists of strings of each batch, counted within `step` of them."""
+    for batch in batches:
+        lists = batch.column(0)
+        words = lists.flatten()
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)) - 1
+        inside = np.ones(len(words), bool)
+        inside[ends[ends >= 0]] = False  # an empty list's end is the one before
+        for a in range(0, len(words) - 1, step):
+            n = min(step, len(words) - 1 - a)
+            some = pa.array(inside[a : a + n])
+            pairs = pc.binary_join_element_wise(words.slice(a, n).filter(some), words.slice(a + 1, n).filter(some), " ").value_counts()
+            yield pa.record_batch([pairs.field("values"), pairs.field("counts")], names=["value", "n"])
+
+
 def token_frequencies(rows: DataFrame, text: Column, top: int, pairs: bool = False) -> DataFrame:
+    """The most frequent tokens, or pairs of neighbours.
+
+    Pairs have so many values that a task's table of them would grow with the input: they are counted a batch at a time
+    and then dealt to partitions whose number grows with that of the input's."""
     words = tokens(text)
-    return frequencies(rows.select(F.explode(token_bigrams(words) if pairs else words).alias("t")), F.col("t"), top)
+    if not pairs:
+        return frequencies(rows.select(F.explode(words).alias("t")), F.col("t"), top)
+    conf = rows.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) > BATCH:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), 8 * rows.rdd.getNumPartitions())
+    counts = rows.select(words.alias("w")).mapInArrow(counted_pairs, "value string, n long").repartition(parts, "value")
+    return counts.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(top)
 
 
 def concentration(rows: DataFrame, value: str) -> DataFrame:
